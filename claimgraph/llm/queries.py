@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import media
+from claimgraph.llm import licenses, media, toxicity
 from claimgraph.llm.common import read
 
 
@@ -14,8 +14,16 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op9(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_media": op5_media}
+    return {"op1_toxicity": op1_toxicity, "op5_media": op5_media, "op9_licenses": op9_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
