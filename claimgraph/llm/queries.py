@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import licenses, media, toxicity
+from claimgraph.llm import licenses, media, pages, quality, secret_scan, toxicity, warc
 from claimgraph.llm.common import read
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -18,13 +26,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7(spark, read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op8(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op9(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op5_media": op5_media, "op9_licenses": op9_licenses}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_extraction": op4_extraction, "op5_media": op5_media, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_licenses": op9_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.ORACLE}
