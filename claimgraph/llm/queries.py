@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgraph.llm import decontamination, licenses, media, mixing, pages, quality, secret_scan, toxicity, warc
+from claimgraph.llm import decontamination, licenses, media, mixing, near_duplicates, pages, quality, secret_scan, toxicity, warc
 from claimgraph.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op6(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op7(spark, read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_extraction": op4_extraction, "op5_media": op5_media, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_licenses": op9_licenses, "op10_decontamination": op10_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_extraction": op4_extraction, "op5_media": op5_media, "op6_jaccard": op6_jaccard, "op7_warc": op7_warc, "op8_secrets": op8_secrets, "op9_licenses": op9_licenses, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
