@@ -10,10 +10,11 @@ first. The rest is joined in regions around pivots:
    Pivots that would own more than `region` documents (a passage or a group of copies) go to the end of the order,
    whereby documents move on to the regions of their next pivots.
 2. Regions of at most `region` documents are joined pairwise. Larger ones recurse: their least document is an inner
-   pivot, to which all distances are computed. Those within 1/4 are linked through it; only documents of other classes
-   remain, of which in each round twice as many become pivots; a document is compared with a pivot only if their
-   distances to the region's first pivot differ by at most 1/4 (triangle inequality). A region is done when it is of
-   one class or all documents outside its largest class have been pivots.
+   pivot, to which all distances are computed. Those within 1/4 are linked through it, so most regions are of one class
+   now. Where they are not, documents of different classes are joined: pairwise in regions of at most `inner`; in larger
+   ones, documents outside the largest class become pivots, twice as many in each round. Documents are compared only if
+   their distances to the region's first pivot differ by at most 1/4 (triangle inequality). A region is done when it is
+   of one class or all documents outside its largest class have been pivots.
 3. Pairs whose shared pivots and remaining lengths cannot add up to the needed intersection are dropped; all others
    are verified on the whole sets. Links of one class are not all listed, but no two classes with a link stay apart.
 
@@ -32,17 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import checkpoint, shared_path
+from claimgraph.llm.common import checkpoint
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 REGION = 8
+INNER = 64
 #: At most so many outer pivots (8 bytes each) are moved to the end of the order, the most frequent first. Any choice
 #: of them gives the same links; it bounds what is sent to the executors.
 MOVED = 1_000_000
 #: Ids (8 bytes each) up to which a side is broadcast.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -318,29 +320,35 @@ def _near(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("id") == F.col("x"), "left_semi").dropDuplicates(["id"])
 
 
-def links(df: DataFrame, firsts: DataFrame, region: int = REGION) -> DataFrame:
+def _shared(found: DataFrame) -> DataFrame:
+    """(x, y, c, i, j, nx, ny), x < y: how many pivots two documents share, the last one's places, and their sizes."""
+    up = F.col("x") < F.col("y")
+    pick = lambda a, b: F.max(F.when(up, F.col(a)).otherwise(F.col(b)))
+    return found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), pick("i", "j").alias("i"), pick("j", "i").alias("j"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"))
+
+
+def _possible(pairs: DataFrame, uncounted: DataFrame) -> DataFrame:
+    """Pairs (x, y) whose sizes fit and that can still reach the needed intersection: the shared pivots, those that may
+    be shared without having been counted (uncounted: id, b), and all shingles after the last shared pivot."""
+    pairs = pairs.join(uncounted.select(F.col("id").alias("x"), F.col("b").alias("bx")), "x", "left").join(uncounted.select(F.col("id").alias("y"), F.col("b").alias("by")), "y", "left")
+    most = F.col("c") + F.least(F.coalesce("bx", F.lit(0)), F.coalesce("by", F.lit(0))) + F.least(F.col("nx") - 1 - F.col("i"), F.col("ny") - 1 - F.col("j"))
+    fits = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (most * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
+    return pairs.where(fits).select("x", "y")
+
+
+def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = INNER) -> DataFrame:
     """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots)."""
     load = firsts.select(F.explode("pivots").alias("s")).groupBy(F.shiftright("s", 32).alias("u")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > region)
     moved = np.sort(np.array([r["u"] for r in load.orderBy(F.col("k").desc(), "u").limit(MOVED).select("u").toLocalIterator()], np.int64))
     rows = _placed_rows(df, firsts, moved)
-    parted = rows.repartition("s").sortWithinPartitions("s", "x")
-    found = regions(parted, region)
-    path = shared_path(df.sparkSession, "regions")
-    found.write.parquet(path)
-    found = df.sparkSession.read.schema("s long, x long, y long, nx long, ny long, i long, j long").parquet(path)
+    found = checkpoint(regions(rows.repartition("s").sortWithinPartitions("s", "x"), region))
     large = found.where("s IS NOT NULL")
-    pairs = found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("x") < F.col("y"), F.col("i")).otherwise(F.col("j"))).alias("i"), F.max(F.when(F.col("x") < F.col("y"), F.col("j")).otherwise(F.col("i"))).alias("j"), F.max(F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny"))).alias("nx"), F.max(F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx"))).alias("ny"))
-    # Pivots of large regions may be shared without having been counted.
-    uncounted = large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))
-    pairs = pairs.join(uncounted.select(F.col("id").alias("x"), F.col("b").alias("bx")), "x", "left").join(uncounted.select(F.col("id").alias("y"), F.col("b").alias("by")), "y", "left")
-    most = F.col("c") + F.least(F.coalesce("bx", F.lit(0)), F.coalesce("by", F.lit(0))) + F.least(F.col("nx") - 1 - F.col("i"), F.col("ny") - 1 - F.col("j"))
-    fits = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (most * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
-    pairs = checkpoint(pairs.where(fits).select("x", "y"))
     texts = lambda ids: _near(df, c := checkpoint(ids), c.count())
+    pairs = checkpoint(_possible(_shared(found), large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))))
     verified = checkpoint(verify(pairs, texts))
     if not large.limit(1).count():
         return verified.where(_linked(verified)).select("x", "y")
-    return _inner(large, verified, texts)
+    return _inner(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")), _shared(found.where("s IS NULL")), verified, texts, inner)
 
 
 def _placed_rows(df: DataFrame, firsts: DataFrame, moved: np.ndarray) -> DataFrame:
@@ -353,45 +361,57 @@ def _placed_rows(df: DataFrame, firsts: DataFrame, moved: np.ndarray) -> DataFra
     return rows.where("np <> -1").unionByName(placed_anew(_near(df, again, n), moved))
 
 
-def _inner(large: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links, after regions of more documents have been joined through inner pivots."""
-    members = large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n")).distinct()
+def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], inner: int) -> DataFrame:
+    """Links, after the large regions' documents (s, x, first, n, at) have been joined across classes. `outside` are the
+    pivots that pairs share in other regions."""
     done = checkpoint(members.where("x = first").select("s", F.col("x").alias("p")))
-    pivots_per_region = 2
+    wanted, small = 32, True
+    labels = components(verified.where(_linked(verified)))
     while True:
-        links_now = verified.where(_linked(verified)).select("x", "y")
-        labels = components(links_now)
         rows = members.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
         share = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
-        top = share.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        open_rows = rows.join(top.select("s", "top"), "s")
-        waiting = open_rows.where("label <> top").join(done.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
-        # About two of every region's waiting documents in the first round, then twice as many each time.
-        size = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
-        chosen = waiting.join(size, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x", F.lit(pivots_per_region)), F.col("w")) < pivots_per_region))
-        chosen = checkpoint(chosen.select("s", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")))
-        if not chosen.limit(1).count():
-            return links_now
-        distance = verified.select(F.col("x").alias("a"), F.col("y").alias("b"), (1 - F.col("both") / F.col("either")).alias("d"))
-        distance = distance.union(distance.select("b", "a", "d"))
-        near_first = open_rows.join(distance.select(F.col("a").alias("x"), F.col("b").alias("first"), "d"), ["x", "first"], "left")
-        pivot_rows = chosen.join(near_first.select("s", F.col("x").alias("p"), F.col("d").alias("pd")), ["s", "p"])
-        tried = near_first.join(pivot_rows, "s").where("label <> pl")
-        tried = tried.where(F.col("d").isNull() | F.col("pd").isNull() | (F.abs(F.col("d") - F.col("pd")) <= 1 - PERCENT / 100 + 1e-9))
-        tried = tried.where(100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
-        tried = tried.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("y")).distinct()
-        tried = checkpoint(tried.join(verified.select("x", "y"), ["x", "y"], "left_anti"))
-        done = checkpoint(done.union(chosen.select("s", "p")))
-        verified = checkpoint(verified.union(verify(tried, texts)))
-        pivots_per_region *= 2
+        top = share.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        away = verified.select(F.col("x").alias("a"), F.col("y").alias("b"), (1 - F.col("both") / F.col("either")).alias("d"))
+        away = away.union(away.select("b", "a", "d"))
+        rows = rows.join(top.select("s", "top", "size"), "s").join(away.select(F.col("a").alias("x"), F.col("b").alias("first"), "d"), ["x", "first"], "left")
+        rows = checkpoint(rows.select("s", "x", "n", "at", "label", "top", "size", "d"))
+        other = [F.col(c).alias(f"p_{c}") for c in ("x", "n", "at", "label", "d")]
+        big = rows.where(F.col("size") > inner)
+        waiting = big.where("label <> top").join(done.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
+        counts = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
+        # About `wanted` of each region's waiting documents, one at least.
+        chosen = checkpoint(waiting.join(counts, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x", F.lit(wanted)), F.col("w")) < wanted)).drop("w", "least"))
+        tried = big.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x")
+        if small:
+            few = rows.where(F.col("size") <= inner)
+            tried = tried.select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d").union(few.join(few.select("s", *other), "s").where("label <> p_label AND x < p_x").select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d"))
+        elif not chosen.limit(1).count():
+            return verified.where(_linked(verified)).select("x", "y")
+        tried = tried.where(F.col("d").isNull() | F.col("p_d").isNull() | (F.abs(F.col("d") - F.col("p_d")) <= 1 - PERCENT / 100 + 1e-9))
+        # A pair of two pivots is seen from both sides.
+        tried = tried.select("s", F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("y"), *(F.when(F.col("x") < F.col("p_x"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "p_n", "nx"), ("p_n", "n", "ny"), ("at", "p_at", "i"), ("p_at", "at", "j")))).dropDuplicates(["s", "x", "y"])
+        shared = tried.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("i", "j", "nx", "ny")))
+        shared = shared.join(outside.select("x", "y", F.col("c").alias("oc"), F.col("i").alias("oi"), F.col("j").alias("oj")), ["x", "y"], "left")
+        shared = shared.select("x", "y", (F.col("c") + F.coalesce("oc", F.lit(0))).alias("c"), F.greatest("i", "oi").alias("i"), F.greatest("j", "oj").alias("j"), "nx", "ny")
+        # Regions left out this round, or by the window, may hold shared pivots that were not counted.
+        uncounted = rows.where((F.col("size") > inner) | F.col("d").isNotNull()).groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))
+        fresh = checkpoint(_possible(shared, uncounted).join(verified.select("x", "y"), ["x", "y"], "left_anti"))
+        done = checkpoint(done.union(chosen.select("s", F.col("x").alias("p"))))
+        if fresh.limit(1).count():
+            new = checkpoint(verify(fresh, texts))
+            verified = verified.union(new)
+            if new.where(_linked(new)).limit(1).count():
+                labels = components(verified.where(_linked(verified)))
+        if small:
+            members = checkpoint(members.join(rows.where(F.col("size") > inner).select("s").distinct(), "s", "left_semi"))
+            small = False
+        wanted *= 8
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
     """(id, n_shingles, component_id, copy_of) for every row; copy_of is the least id with an equal set."""
     texts = _texts(df, id_col, text_col)
-    path = shared_path(df.sparkSession, "sets")
-    sets(texts).write.parquet(path)
-    stored = df.sparkSession.read.schema("id long, n long, s1 long, s2 long, pivots array<long>").parquet(path)
+    stored = checkpoint(sets(texts))
     small = stored.select("id", "n", "s1", "s2")
     groups = small.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Only sets of several documents move; single ones are their own.
