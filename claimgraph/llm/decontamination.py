@@ -1,38 +1,50 @@
 """Benchmark decontamination by a prefix-filtered set join, with built-in functions only.
 
 Items are cut into windows of `window` consecutive words (a shorter item is one window). A window's tokens are its
-words, ordered by how often the whole corpus holds them, rarest first: a document place can only hold the window if it
-holds its rarest word, so that word alone, the necessary prefix, is joined. Candidates that would begin before the
-document's first word (positional bound) or end behind its last (length bound) go; the others are verified word for
-word, over all windows of the item at that shift.
-
-The vocabulary and the windows of a benchmark are broadcast when they are at most `BROADCAST_WORDS`, else joined by
-key; so are candidates per document. Defined results: null or empty text has no words, windows or hits; an item
-without words has no window; repeated rows give repeated results; documents are told apart by id and a hash of their text.
+shingles of three words (of all its words, if it has fewer), ordered by how often the whole corpus holds them, rarest
+first: a document place can only hold the window if it holds its rarest shingle, so that one alone, the necessary
+prefix, is joined. Candidates that would begin before the document's first word (positional bound) or end behind its
+last (length bound) go; the others are verified word for word, over all windows of the item at that shift.
+
+The corpus is cut into shingles once; those that the benchmark knows are written down, counted and joined. The
+benchmark's shingles and windows are broadcast when they are at most `BROADCAST_WORDS`, else joined by key; so are
+candidates per document. Defined results: null or empty text has no words, windows or hits; an item without words has
+no window; repeated rows give repeated results; documents are told apart by id and a hash of their text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import LOWER, UPPER, ascii_lower, checkpoint
+from claimgraph.llm.common import ALNUM_WORD, ascii_lower, checkpoint
 
-#: Maximal runs of ASCII letters and digits and of other characters than ASCII; A-Z are lower-cased after matching.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
+SHINGLE = 3
 #: Rows (of at most some hundred bytes) up to which a side is broadcast.
 BROADCAST_WORDS = 200_000
-BROADCAST_CANDIDATES = 400_000
+BROADCAST_CANDIDATES = 100_000
+
 
+def words_of(text: Column) -> Column:
+    """Maximal runs of ASCII letters and digits and of other characters than ASCII, with A-Z lower-cased. Plain ASCII
+    texts take the fast way; lower() would change other letters as well."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.regexp_extract_all(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text)), F.lit(ALNUM_WORD), F.lit(0))
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used in lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def fold(word: Column) -> Column:
-    """A-Z lower-cased; other characters, which lower() would change, take the slower way."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+def shingle_hashes(words: Column, size: int) -> Column:
+    """Hashes of all runs of so many words, by their start."""
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+    return F.when(F.size(words) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
 
 def _small(df: DataFrame, n: int, most: int) -> DataFrame:
@@ -40,57 +52,62 @@ def _small(df: DataFrame, n: int, most: int) -> DataFrame:
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words) of items that have words."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-    return items.select(F.col(id_col).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0).distinct()
+    """(item, words, m, g) of items that have words: their number and the size of their shingles."""
+    rows = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    return rows.withColumn("m", F.size("words")).withColumn("g", F.least(F.lit(SHINGLE), "m"))
+
 
+def item_shingles(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(item, m, g, token, at) of item_words' rows."""
+    parts = [items.where(F.col("g") == g).select("item", "m", "g", F.posexplode(shingle_hashes(F.col("words"), g)).alias("at", "token")) for g in sizes]
+    return reduce(DataFrame.unionByName, parts)
 
-def anchors(items: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(word, item, offset): per window its rarest word, at its offset in the item; windows share anchors."""
-    rows = items.select("item", F.posexplode("words").alias("at", "word"), F.size("words").alias("n"))
-    rows = rows.join(frequency, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per_item = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "df", "word"))).alias("w"), F.max("n").alias("n"))
-    span = F.least(F.lit(window), F.col("n"))
-    best = F.transform(F.sequence(F.lit(0), F.col("n") - span), lambda j: F.array_min(F.transform(F.slice("w", j + 1, span), lambda x: F.struct(x["df"], x["word"], x["at"]))))
-    return per_item.select("item", F.explode(F.array_distinct(best)).alias("b")).select(F.col("b.word").alias("word"), "item", F.col("b.at").alias("offset"))
+
+def anchors(shingles: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(token, g, item, m, offset): per window its rarest shingle, at its offset in the item; windows share anchors."""
+    rows = shingles.join(frequency, ["g", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    per_item = rows.groupBy("item", "m", "g").agg(F.array_sort(F.collect_list(F.struct("at", "df", "token"))).alias("w"))
+    span = F.least(F.lit(window), F.col("m"))
+    best = F.transform(F.sequence(F.lit(0), F.col("m") - span), lambda j: F.array_min(F.transform(F.slice("w", j + 1, span - F.col("g") + 1), lambda x: F.struct(x["df"], x["token"], x["at"]))))
+    return per_item.select("item", "m", "g", F.explode(F.array_distinct(best)).alias("b")).select(F.col("b.token").alias("token"), "g", "item", "m", F.col("b.at").alias("offset"))
 
 
 def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """documents' rows as the struct `row`, n_words, and hits: array<struct<item, start, words>> of matching windows."""
+    nothing = F.array().cast("array<struct<item:string,start:int,words:int>>")
     wanted = checkpoint(item_words(items, item_id, item_text))
-    vocabulary = checkpoint(wanted.select(F.explode("words").alias("word")).distinct())
+    sizes = [r["g"] for r in wanted.select("g").distinct().orderBy("g").collect()]  # at most SHINGLE numbers
+    if not sizes:
+        return documents.select(F.struct(*documents.columns).alias("row"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"), nothing.alias("hits"))
+    shingles = checkpoint(item_shingles(wanted, sizes))
+    vocabulary = checkpoint(shingles.select("g", "token").distinct())
     n_vocabulary = vocabulary.count()
     key = [F.col(id_col).cast("string").alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash")]
-    # Words of the whole corpus that the benchmark knows, counted before they move.
-    spoken = documents.select(F.explode(raw_words(F.col(text_col))).alias("word")).select(fold(F.col("word")).alias("word"))
-    frequency = spoken.join(_small(vocabulary, n_vocabulary, BROADCAST_WORDS), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rare = checkpoint(anchors(wanted, frequency, window))
-    n_rare = rare.count()
-    placed = documents.select(*key, raw_words(F.col(text_col)).alias("w")).select("__id", "__hash", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-    placed = placed.select("__id", "__hash", "n", "at", fold(F.col("word")).alias("word"))
-    lengths = wanted.select(F.col("item"), F.size("words").alias("m"))
-    found = placed.join(_small(rare.join(lengths, "item"), n_rare, BROADCAST_WORDS), "word")
+    cut = bound(words_of(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), *(shingle_hashes(w, g).alias(f"s{g}") for g in sizes)))
+    spoken = documents.select(*key, cut.alias("cut"))
+    parts = [spoken.select("__id", "__hash", F.lit(g).alias("g"), F.col("cut.n").alias("n"), F.posexplode(f"cut.s{g}").alias("at", "token")).join(_small(vocabulary.where(F.col("g") == g).select("token"), n_vocabulary, BROADCAST_WORDS), "token", "left_semi") for g in sizes]
+    spots = checkpoint(reduce(DataFrame.unionByName, parts))
+    rare = checkpoint(anchors(shingles, spots.groupBy("g", "token").agg(F.count(F.lit(1)).alias("df")), window))
+    found = spots.join(_small(rare, rare.count(), BROADCAST_WORDS), ["g", "token"])
     shift = F.col("at") - F.col("offset")
     span = F.least(F.lit(window), F.col("m"))
-    # A window that holds the anchor begins at most span - 1 words before it and lies within document and item.
-    first, last = F.greatest(F.lit(0), F.col("offset") - span + 1, -shift), F.least(F.col("offset"), F.col("m") - span, F.col("n") - span - shift)
+    # A window that holds the anchor begins at most span - g words before it and lies within item and document.
+    first, last = F.greatest(F.lit(0), F.col("offset") - span + F.col("g"), -shift), F.least(F.col("offset"), F.col("m") - span, F.col("n") - span - shift)
     found = found.where(first <= last).select("__id", "__hash", "item", shift.alias("shift"), first.alias("first"), last.alias("last"), span.alias("span"))
-    with_words = found.join(_small(wanted, wanted.count(), BROADCAST_WORDS // 10), "item")
-    candidates = with_words.groupBy("__id", "__hash", "item", "shift").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words"), F.max("span").alias("span"))
+    candidates = found.groupBy("__id", "__hash", "item", "shift", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    candidates = candidates.join(_small(wanted.select("item", "words"), wanted.count(), BROADCAST_WORDS // 10), "item")
     per_document = checkpoint(candidates.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item", "shift", "first", "last", "span", "words")).alias("candidates"), F.count(F.lit(1)).alias("n")))
     total = per_document.agg(F.sum("n")).first()[0] or 0
     right = per_document.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "candidates")
     rows = documents.select(F.struct(*documents.columns).alias("row"), *key)
     joined = rows.join(_small(right, total, BROADCAST_CANDIDATES), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
-    own = raw_words(F.col(f"row.{text_col}"))
-    joined = joined.select("row", "candidates", own.alias("raw")).select("row", F.size("raw").cast("long").alias("n_words"), "candidates", F.when(F.col("candidates").isNotNull(), F.transform("raw", fold)).alias("words"))
 
-    def verified(c: Column) -> Column:
-        starts = F.filter(F.sequence(c["first"], c["last"]), lambda j: F.slice(F.col("words"), c["shift"] + j + 1, c["span"]) == F.slice(c["words"], j + 1, c["span"]))
+    def verified(words: Column, c: Column) -> Column:
+        starts = F.filter(F.sequence(c["first"], c["last"]), lambda j: F.slice(words, c["shift"] + j + 1, c["span"]) == F.slice(c["words"], j + 1, c["span"]))
         return F.transform(starts, lambda j: F.struct(c["item"].alias("item"), (c["shift"] + j).alias("start"), c["span"].alias("words")))
 
-    nothing = F.array().cast("array<struct<item:string,start:int,words:int>>")
-    return joined.select("row", "n_words", F.coalesce(F.flatten(F.transform("candidates", verified)), nothing).alias("hits"))
+    proof = bound(words_of(F.col(f"row.{text_col}")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.coalesce(F.flatten(F.transform("candidates", lambda c: verified(w, c))), nothing).alias("hits")))
+    return joined.select("row", proof.alias("p")).select("row", F.col("p.n").alias("n_words"), F.col("p.hits").alias("hits"))
 
 
 def op10(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
