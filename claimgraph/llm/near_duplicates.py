@@ -15,8 +15,11 @@ first. The rest is joined in regions around pivots:
    ones, documents outside the largest class become pivots, twice as many in each round. Documents are compared only if
    their distances to the region's first pivot differ by at most 1/4 (triangle inequality). A region is done when it is
    of one class or all documents outside its largest class have been pivots.
-3. Pairs whose shared pivots and remaining lengths cannot add up to the needed intersection are dropped; all others
-   are verified on the whole sets. Links of one class are not all listed, but no two classes with a link stay apart.
+3. Pairs whose shared pivots and remaining lengths cannot add up to the needed intersection are dropped, and those whose
+   parity sketches differ in more bits than two linked sets can differ in shingles (a lower bound of their symmetric
+   difference, so no link is lost). Distances to a region's first pivot are computed without the sketch, as the
+   triangle inequality needs them. All other pairs are verified on the whole sets. Links of one class are not all
+   listed, but no two classes with a link stay apart.
 
 Defined results: null or empty text, or one without words, has an empty set, links with nothing and is its own class;
 fewer than five words are one shingle; equal rows count as one document with copies; a class's id is its least id;
@@ -45,6 +48,8 @@ INNER = 64
 MOVED = 1_000_000
 #: Ids (8 bytes each) up to which a side is broadcast.
 BROADCAST_IDS = 200_000
+#: Most bits of a parity sketch. Fewer bits bound the difference less tightly and send more pairs to verification.
+SKETCH_BITS = 1 << 16
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -117,17 +122,31 @@ def signature(found: np.ndarray) -> tuple[int, int]:
         return int(u.sum(dtype=np.uint64).view(np.int64)), int(_mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of as many bits as the set is large, a power of two from 64 up."""
+    bits = min(SKETCH_BITS, 1 << max(6, (len(found) - 1).bit_length()))
+    return np.packbits(np.bincount(found & np.int64(bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of two sets' symmetric difference: every shingle of it turns one bit. The longer sketch is folded."""
+    one, other = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(one) > len(other):
+        one, other = other, one
+    return int(np.bitwise_count(one ^ np.bitwise_xor.reduce(other.reshape(-1, len(one)), axis=0)).sum())
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, pivots) of (id, text): size, signature and the first shingles of each set."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64()))])
+    """(id, n, s1, s2, pivots, sketch) of (id, text): size, signature, first shingles and parities of each set."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, firsts = [], [], [], []
+            n, s1, s2, firsts, parities = [], [], [], [], []
             for raw in batch.column(1):
                 found = shingles(raw.as_buffer().to_pybytes() if raw.is_valid else None)
                 a, b = signature(found)
@@ -135,11 +154,12 @@ def sets(df: DataFrame) -> DataFrame:
                 s1.append(a)
                 s2.append(b)
                 firsts.append(found[: window(len(found))])
+                parities.append(sketch(found) if len(found) else None)
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             values = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary())], schema=schema)
 
-    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, pivots array<long>")
+    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary")
 
 
 _PLACED = "s long, x long, np long"
@@ -295,6 +315,22 @@ def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFra
     return rows.mapInArrow(run, "x long, y long, both long, either long")
 
 
+def resembling(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (x, y), a written table, whose sketches (id, n, sketch) do not rule a link out."""
+    ids = checkpoint(pairs.select("x").union(pairs.select("y")).distinct())
+    t = _near(sketches, ids, ids.count())
+    rows = pairs.select("x", "y").join(t.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("a")), "x").join(t.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("b")), "y").select("x", "y", "nx", "ny", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([least_apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
+
+    return rows.mapInArrow(run, "x long, y long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of all ends of edges (x, y): the least id that links reach, by hooking and pointer jumping."""
     both = checkpoint(edges.select("x", "y").union(edges.select("y", "x")).distinct())
@@ -321,38 +357,42 @@ def _near(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(found: DataFrame) -> DataFrame:
-    """(x, y, c, i, j, nx, ny), x < y: how many pivots two documents share, the last one's places, and their sizes."""
+    """(x, y, c, i, j, nx, ny, pivot), x < y: how many pivots two documents share, the last one's places, their sizes,
+    and whether one is a large region's first document."""
     up = F.col("x") < F.col("y")
     pick = lambda a, b: F.max(F.when(up, F.col(a)).otherwise(F.col(b)))
-    return found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), pick("i", "j").alias("i"), pick("j", "i").alias("j"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"))
+    return found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), pick("i", "j").alias("i"), pick("j", "i").alias("j"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"), F.max(F.col("s").isNotNull()).alias("pivot"))
 
 
-def _possible(pairs: DataFrame, uncounted: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, uncounted: DataFrame, *more: str) -> DataFrame:
     """Pairs (x, y) whose sizes fit and that can still reach the needed intersection: the shared pivots, those that may
     be shared without having been counted (uncounted: id, b), and all shingles after the last shared pivot."""
     pairs = pairs.join(uncounted.select(F.col("id").alias("x"), F.col("b").alias("bx")), "x", "left").join(uncounted.select(F.col("id").alias("y"), F.col("b").alias("by")), "y", "left")
     most = F.col("c") + F.least(F.coalesce("bx", F.lit(0)), F.coalesce("by", F.lit(0))) + F.least(F.col("nx") - 1 - F.col("i"), F.col("ny") - 1 - F.col("j"))
     fits = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (most * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
-    return pairs.where(fits).select("x", "y")
+    return pairs.where(fits).select("x", "y", *more)
 
 
 def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = INNER) -> DataFrame:
-    """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots)."""
+    """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots,
+    sketch)."""
+    sketches = firsts.select("id", "n", "sketch")
     load = firsts.select(F.explode("pivots").alias("s")).groupBy(F.shiftright("s", 32).alias("u")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > region)
     moved = np.sort(np.array([r["u"] for r in load.orderBy(F.col("k").desc(), "u").limit(MOVED).select("u").toLocalIterator()], np.int64))
     rows = _placed_rows(df, firsts, moved)
     found = checkpoint(regions(rows.repartition("s").sortWithinPartitions("s", "x"), region))
     large = found.where("s IS NOT NULL")
     texts = lambda ids: _near(df, c := checkpoint(ids), c.count())
-    pairs = checkpoint(_possible(_shared(found), large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))))
+    possible = checkpoint(_possible(_shared(found), large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b")), "pivot"))
+    pairs = checkpoint(possible.where("pivot").select("x", "y").union(resembling(possible.where("NOT pivot"), sketches)))
     verified = checkpoint(verify(pairs, texts))
     if not large.limit(1).count():
         return verified.where(_linked(verified)).select("x", "y")
-    return _inner(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")), _shared(found.where("s IS NULL")), verified, texts, inner)
+    return _inner(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")), _shared(found.where("s IS NULL")), verified, texts, sketches, inner)
 
 
 def _placed_rows(df: DataFrame, firsts: DataFrame, moved: np.ndarray) -> DataFrame:
-    rows = placed(firsts, moved)
+    rows = placed(firsts.select("id", "n", "pivots"), moved)
     if not len(moved):
         return rows
     # Documents with a moved pivot, a few numbers each, are read again under the new order.
@@ -361,7 +401,7 @@ def _placed_rows(df: DataFrame, firsts: DataFrame, moved: np.ndarray) -> DataFra
     return rows.where("np <> -1").unionByName(placed_anew(_near(df, again, n), moved))
 
 
-def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], inner: int) -> DataFrame:
+def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, inner: int) -> DataFrame:
     """Links, after the large regions' documents (s, x, first, n, at) have been joined across classes. `outside` are the
     pivots that pairs share in other regions."""
     done = checkpoint(members.where("x = first").select("s", F.col("x").alias("p")))
@@ -396,6 +436,7 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         # Regions left out this round, or by the window, may hold shared pivots that were not counted.
         uncounted = rows.where((F.col("size") > inner) | F.col("d").isNotNull()).groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))
         fresh = checkpoint(_possible(shared, uncounted).join(verified.select("x", "y"), ["x", "y"], "left_anti"))
+        fresh = checkpoint(resembling(fresh, sketches))
         done = checkpoint(done.union(chosen.select("s", F.col("x").alias("p"))))
         if fresh.limit(1).count():
             new = checkpoint(verify(fresh, texts))
@@ -419,7 +460,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     copies = members.where("n > 0 AND (id IS NULL OR id <> rep)").select(F.col("id").alias("x")).distinct()
     n_copies = copies.count()
-    distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots")
+    distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots", "sketch")
     if n_copies:
         copies = checkpoint(copies)
         distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
