@@ -242,7 +242,8 @@ def regions(rows: DataFrame, region: int) -> DataFrame:
     def emit(s: np.ndarray | None, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> pa.RecordBatch:
         nx, ny, i, j = px >> np.int64(32), py >> np.int64(32), px & low, py & low
         if s is None:
-            keep = (x != y) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+            most = np.minimum(i, j) + 1 + np.minimum(nx - 1 - i, ny - 1 - j)
+            keep = (x != y) & (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & (most * (100 + PERCENT) >= PERCENT * (nx + ny))
             x, y, nx, ny, i, j = (c[keep] for c in (x, y, nx, ny, i, j))
         first = pa.nulls(len(x), pa.int64()) if s is None else pa.array(s)
         return pa.RecordBatch.from_arrays([first, *map(pa.array, (x, y, nx, ny, i, j))], schema=schema)
@@ -352,8 +353,17 @@ def _linked(verified: DataFrame) -> Column:
 
 
 def _near(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of (id, ...) whose ids are among (x), each id once."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("id") == F.col("x"), "left_semi").dropDuplicates(["id"])
+    """Rows of (id, ...) whose ids are among (x)."""
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("id") == F.col("x"), "left_semi")
+
+
+def _each_once(df: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    """df with each id once; only the rows of the n ids that are repeated (x) move."""
+    if not n:
+        return df
+    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    alone = df.join(repeated, F.col("id") == F.col("x"), "left_anti")
+    return alone.unionByName(df.join(repeated, F.col("id") == F.col("x"), "left_semi").dropDuplicates(["id"]))
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -421,15 +431,19 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         counts = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
         # About `wanted` of each region's waiting documents, one at least.
         chosen = checkpoint(waiting.join(counts, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x", F.lit(wanted)), F.col("w")) < wanted)).drop("w", "least"))
-        tried = big.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x")
+        # A pair of two pivots is taken from one side only.
+        sides = big.join(chosen.select("s", "x", F.lit(True).alias("is_pivot")), ["s", "x"], "left")
+        tried = sides.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x AND (is_pivot IS NULL OR x < p_x)")
         if small:
             few = rows.where(F.col("size") <= inner)
             tried = tried.select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d").union(few.join(few.select("s", *other), "s").where("label <> p_label AND x < p_x").select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d"))
         elif not chosen.limit(1).count():
             return verified.where(_linked(verified)).select("x", "y")
         tried = tried.where(F.col("d").isNull() | F.col("p_d").isNull() | (F.abs(F.col("d") - F.col("p_d")) <= 1 - PERCENT / 100 + 1e-9))
-        # A pair of two pivots is seen from both sides.
-        tried = tried.select("s", F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("y"), *(F.when(F.col("x") < F.col("p_x"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "p_n", "nx"), ("p_n", "n", "ny"), ("at", "p_at", "i"), ("p_at", "at", "j")))).dropDuplicates(["s", "x", "y"])
+        # Sizes, and what can be shared before and after this pivot, rule pairs out before they are shuffled.
+        most = F.least("at", "p_at") + 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("p_n") - 1 - F.col("p_at"))
+        tried = tried.where((100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & (most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("p_n"))))
+        tried = tried.select("s", F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("y"), *(F.when(F.col("x") < F.col("p_x"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "p_n", "nx"), ("p_n", "n", "ny"), ("at", "p_at", "i"), ("p_at", "at", "j"))))
         shared = tried.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("i", "j", "nx", "ny")))
         shared = shared.join(outside.select("x", "y", F.col("c").alias("oc"), F.col("i").alias("oi"), F.col("j").alias("oj")), ["x", "y"], "left")
         shared = shared.select("x", "y", (F.col("c") + F.coalesce("oc", F.lit(0))).alias("c"), F.greatest("i", "oi").alias("i"), F.greatest("j", "oj").alias("j"), "nx", "ny")
@@ -458,13 +472,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     # Only sets of several documents move; single ones are their own.
     several = groups.where("copies > 1").select("s1", "s2", "n", "rep")
     members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    repeated = checkpoint(small.where("n > 0 AND id IS NOT NULL").groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
+    n_repeated = repeated.count()
     copies = members.where("n > 0 AND (id IS NULL OR id <> rep)").select(F.col("id").alias("x")).distinct()
     n_copies = copies.count()
     distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots", "sketch")
     if n_copies:
         copies = checkpoint(copies)
         distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
-    labels = components(links(texts.where("id IS NOT NULL"), distinct, region))
+    labels = components(links(_each_once(texts.where("id IS NOT NULL"), repeated, n_repeated), _each_once(distinct, repeated, n_repeated), region))
     joined = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"))
 

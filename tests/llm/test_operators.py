@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from claimgraph.llm import decontamination, licenses, media, mixing, near_duplicates, pages, quality, secret_scan, toxicity, warc
@@ -240,6 +241,22 @@ def test_classes_equal_brute_force(spark, region):
     assert got == brute_classes(rows)
 
 
+def test_sketch_never_exceeds_the_symmetric_difference():
+    rng = np.random.default_rng(5)
+    for n, m, k in [(1, 1, 0), (3, 70, 2), (200, 150, 140), (5000, 40, 40), (900, 900, 900)]:
+        pool = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - k : n - k + m])
+        apart = near_duplicates.least_apart(near_duplicates.sketch(a), near_duplicates.sketch(b))
+        assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or len(np.setxor1d(a, b)) < 3)
+
+
+def test_repeated_rows_keep_their_classes(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " end"), (2, text + " end"), (3, "other words")]
+    got = sorted((r.id, r.component_id) for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 3)]
+
+
 def test_class_edge_rows(odd, empty):
     assert near_duplicates.op6(odd).count() == len(ODD) and near_duplicates.op6(empty).count() == 0
 
