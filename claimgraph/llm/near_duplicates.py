@@ -8,11 +8,13 @@ first. The rest is joined in regions around pivots:
    pivot (its first shingle), and the triangle inequality gives the window in which it must be replicated: a partner
    within 1/4 lacks at most a quarter of its shingles, so its own pivot is among the first n - ceil(3n/4) + 1.
    Pivots that would own more than `region` documents (a passage or a group of copies) go to the end of the order,
-   whereby documents move on to the regions of their next pivots.
+   whereby documents move on to the regions of their next pivots; those that so many move on to are moved as well, until
+   none is left. Each document keeps some pivots beyond its window, so that its text is read again only if they run out.
 2. Regions of at most `region` documents are joined pairwise. Larger ones recurse: their least document is an inner
    pivot, to which all distances are computed. Those within 1/4 are linked through it, so most regions are of one class
    now. Where they are not, documents of different classes are joined: pairwise in regions of at most `inner`; in larger
-   ones, documents outside the largest class become pivots, twice as many in each round. Documents are compared only if
+   ones, documents outside the largest class become pivots, more in each round; as a group of copies shares many regions,
+   each acts in one region first and in more only while it stays outside. Documents are compared only if
    their distances to the region's first pivot differ by at most 1/4 (triangle inequality). A region is done when it is
    of one class or all documents outside its largest class have been pivots.
 3. Pairs whose shared pivots and remaining lengths cannot add up to the needed intersection are dropped, and those whose
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.llm.common import checkpoint
@@ -46,6 +48,8 @@ INNER = 64
 #: At most so many outer pivots (8 bytes each) are moved to the end of the order, the most frequent first. Any choice
 #: of them gives the same links; it bounds what is sent to the executors.
 MOVED = 1_000_000
+#: Most rounds in which pivots are moved. Further ones would make regions smaller but leave the links as they are.
+ROUNDS = 8
 #: Ids (8 bytes each) up to which a side is broadcast.
 BROADCAST_IDS = 200_000
 #: Most bits of a parity sketch. Fewer bits bound the difference less tightly and send more pairs to verification.
@@ -116,6 +120,11 @@ def window(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def kept(n: int) -> int:
+    """How many pivots a set of n keeps: its window, and more for those that may be moved."""
+    return window(n) + window(n) // 8 + 16
+
+
 def signature(found: np.ndarray) -> tuple[int, int]:
     u = found.view(np.uint64)
     with np.errstate(over="ignore"):
@@ -141,7 +150,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, pivots, sketch) of (id, text): size, signature, first shingles and parities of each set."""
+    """(id, n, s1, s2, pivots, sketch) of (id, text): size, signature, first shingles (`kept` of them) and parities of each
+    set."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +163,7 @@ def sets(df: DataFrame) -> DataFrame:
                 n.append(len(found))
                 s1.append(a)
                 s2.append(b)
-                firsts.append(found[: window(len(found))])
+                firsts.append(found[: kept(len(found))])
                 parities.append(sketch(found) if len(found) else None)
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             values = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
@@ -196,40 +206,75 @@ def _is_moved(values: np.ndarray, moved: np.ndarray) -> np.ndarray:
     return moved[at] == upper
 
 
-def placed(firsts: DataFrame, moved: np.ndarray) -> DataFrame:
-    """Rows (s, x, np) of (id, n, pivots) where no pivot has moved; one row of size -1 where one has."""
+def _window(own: np.ndarray, late: np.ndarray, n: int) -> np.ndarray | None:
+    """A document's first pivots under the order in which moved ones (late) come last; None if those that it has kept do
+    not reach so far."""
+    w = window(n)
+    if not late[:w].any():
+        return own[:w]
+    rest = own[~late]
+    if len(rest) < w and len(own) < n:
+        return None
+    return np.concatenate([rest[:w], own[late]])[:w]
+
+
+def _documents(batch: pa.RecordBatch, moved: np.ndarray, only_moved: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(id, n, pivots, which of them have moved) of a batch of (id, n, pivots)."""
+    ids, sizes, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    late = _is_moved(values, moved)
+    sums = np.concatenate([[0], np.cumsum(late)])
+    for k in np.flatnonzero(sums[ends[1:]] > sums[ends[:-1]]) if only_moved else range(len(ids)):
+        at = slice(ends[k], ends[k + 1])
+        yield ids[k], sizes[k], values[at], late[at]
+
+
+def placed(lists: DataFrame, moved: np.ndarray) -> DataFrame:
+    """Rows (s, x, np) of (id, n, pivots), without the documents that have kept too few pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
-                ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                hot = np.concatenate([[0], np.cumsum(_is_moved(values, moved))])
-                for k in range(len(ids)):
-                    if hot[ends[k + 1]] > hot[ends[k]]:
-                        yield np.zeros(1, np.int64), ids[k : k + 1], np.full(1, -1, np.int64)
-                    else:
-                        yield _rows(int(ids[k]), int(sizes[k]), values[ends[k] : ends[k + 1]])
+                for x, n, own, late in _documents(batch, moved, False):
+                    if (first := _window(own, late, n)) is not None:
+                        yield _rows(x, n, first)
 
         yield from _chunked(made(), _PLACED_SCHEMA)
 
-    return firsts.mapInArrow(run, _PLACED)
+    return lists.mapInArrow(run, _PLACED)
 
 
-def placed_anew(texts: DataFrame, moved: np.ndarray) -> DataFrame:
-    """Rows (s, x, np) of (id, text) under the order in which moved pivots come last."""
+def entered(lists: DataFrame, moved: np.ndarray, before: np.ndarray) -> DataFrame:
+    """(u, x) of (id, n, pivots): upper halves of the pivots that come into a window as others have moved, and the
+    documents that have kept too few of them, but had enough with those of `before` moved."""
+    schema = pa.schema([("u", pa.int64()), ("x", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> Iterator[tuple[np.ndarray, ...]]:
-            for batch in batches:
-                for x, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = shingles(raw)
-                    late = _is_moved(found, moved)
-                    yield _rows(x, len(found), np.concatenate([found[~late], found[late]])[: window(len(found))])
+        for batch in batches:
+            new, short = [np.empty(0, np.int64)], []
+            for x, n, own, late in _documents(batch, moved, True):
+                w = window(n)
+                if _window(own, late, n) is not None:
+                    rest = own[~late][:w]
+                    new.append(rest[rest > own[w - 1]] >> np.int64(32))
+                elif _window(own, _is_moved(own, before), n) is not None:
+                    short.append(x)
+            u = np.concatenate(new)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(u), pa.nulls(len(short), pa.int64())]), pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(short, pa.int64())])], schema=schema)
 
-        yield from _chunked(made(), _PLACED_SCHEMA)
+    return lists.mapInArrow(run, "u long, x long")
+
+
+def whole(texts: DataFrame) -> DataFrame:
+    """(id, n, pivots) of (id, text) with all shingles as pivots."""
 
-    return texts.mapInArrow(run, _PLACED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingles(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([len(found)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], names=["id", "n", "pivots"])
+
+    return texts.mapInArrow(run, "id long, n long, pivots array<long>")
 
 
 def regions(rows: DataFrame, region: int) -> DataFrame:
@@ -387,9 +432,7 @@ def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = I
     """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots,
     sketch)."""
     sketches = firsts.select("id", "n", "sketch")
-    load = firsts.select(F.explode("pivots").alias("s")).groupBy(F.shiftright("s", 32).alias("u")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > region)
-    moved = np.sort(np.array([r["u"] for r in load.orderBy(F.col("k").desc(), "u").limit(MOVED).select("u").toLocalIterator()], np.int64))
-    rows = _placed_rows(df, firsts, moved)
+    rows = _placed_rows(df, firsts.select("id", "n", "pivots"), region)
     found = checkpoint(regions(rows.repartition("s").sortWithinPartitions("s", "x"), region))
     large = found.where("s IS NOT NULL")
     texts = lambda ids: _near(df, c := checkpoint(ids), c.count())
@@ -401,21 +444,37 @@ def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = I
     return _inner(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")), _shared(found.where("s IS NULL")), verified, texts, sketches, inner)
 
 
-def _placed_rows(df: DataFrame, firsts: DataFrame, moved: np.ndarray) -> DataFrame:
-    rows = placed(firsts.select("id", "n", "pivots"), moved)
-    if not len(moved):
-        return rows
-    # Documents with a moved pivot, a few numbers each, are read again under the new order.
-    again = checkpoint(rows.where("np = -1").select("x").distinct())
-    n = again.count()
-    return rows.where("np <> -1").unionByName(placed_anew(_near(df, again, n), moved))
+def _frequent(pivots: DataFrame, region: int, most: int) -> np.ndarray:
+    """The `most` most frequent of (u) among those that occur more than `region` times, sorted."""
+    found = pivots.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > region).orderBy(F.col("k").desc(), "u").limit(most).select("u")
+    return np.sort(np.array([r["u"] for r in found.toLocalIterator()], np.int64))
+
+
+def _placed_rows(df: DataFrame, lists: DataFrame, region: int) -> DataFrame:
+    """Rows (s, x, np) under an order in which frequent pivots come last."""
+    w = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    moved = _frequent(lists.select(F.explode(F.slice("pivots", F.lit(1), w.cast("int"))).alias("s")).select(F.shiftright("s", 32).alias("u")), region, MOVED)
+    before, more = np.empty(0, np.int64), None  # documents whose kept pivots ran out, with all of theirs
+    for k in range(ROUNDS if len(moved) else 0):
+        new = checkpoint(entered(lists if more is None else lists.unionByName(more), moved, before))
+        short = checkpoint(new.where("x IS NOT NULL").select("x").distinct())
+        if n := short.count():
+            added = checkpoint(whole(_near(df, short, n)))
+            more = added if more is None else more.unionByName(added)
+            new = new.unionByName(entered(added, moved, moved))
+        further = np.setdiff1d(_frequent(new.where("u IS NOT NULL").select("u"), region, MOVED - len(moved)), moved) if k < ROUNDS - 1 and len(moved) < MOVED else before[:0]
+        if not len(further):
+            break
+        before, moved = moved, np.union1d(moved, further)
+    rows = placed(lists, moved)
+    return rows if more is None else rows.unionByName(placed(more, moved))
 
 
 def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, inner: int) -> DataFrame:
     """Links, after the large regions' documents (s, x, first, n, at) have been joined across classes. `outside` are the
     pivots that pairs share in other regions."""
     done = checkpoint(members.where("x = first").select("s", F.col("x").alias("p")))
-    wanted, small = 32, True
+    wanted, spread, small = 32, 1, True
     labels = components(verified.where(_linked(verified)))
     while True:
         rows = members.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
@@ -429,8 +488,11 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         big = rows.where(F.col("size") > inner)
         waiting = big.where("label <> top").join(done.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
         counts = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
-        # About `wanted` of each region's waiting documents, one at least.
-        chosen = checkpoint(waiting.join(counts, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x", F.lit(wanted)), F.col("w")) < wanted)).drop("w", "least"))
+        # About `wanted` of each region's waiting documents, one at least, alike in regions that share them; each in its
+        # `spread` largest regions.
+        chosen = waiting.join(counts, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x"), F.lit(1 << 20)) * F.col("w") < wanted << 20)).drop("w", "least")
+        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.col("size").desc(), "s"))
+        chosen = checkpoint(chosen.withColumn("rank", rank).where(F.col("rank") <= spread).drop("rank"))
         # A pair of two pivots is taken from one side only.
         sides = big.join(chosen.select("s", "x", F.lit(True).alias("is_pivot")), ["s", "x"], "left")
         tried = sides.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x AND (is_pivot IS NULL OR x < p_x)")
@@ -460,10 +522,10 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         if small:
             members = checkpoint(members.join(rows.where(F.col("size") > inner).select("s").distinct(), "s", "left_semi"))
             small = False
-        wanted *= 8
+        wanted, spread = wanted * 8, spread * 8
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, inner: int = INNER) -> DataFrame:
     """(id, n_shingles, component_id, copy_of) for every row; copy_of is the least id with an equal set."""
     texts = _texts(df, id_col, text_col)
     stored = checkpoint(sets(texts))
@@ -480,7 +542,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     if n_copies:
         copies = checkpoint(copies)
         distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
-    labels = components(links(_each_once(texts.where("id IS NOT NULL"), repeated, n_repeated), _each_once(distinct, repeated, n_repeated), region))
+    labels = components(links(_each_once(texts.where("id IS NOT NULL"), repeated, n_repeated), _each_once(distinct, repeated, n_repeated), region, inner))
     joined = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"))
 

@@ -241,6 +241,24 @@ def test_classes_equal_brute_force(spark, region):
     assert got == brute_classes(rows)
 
 
+def test_large_groups_and_passages_equal_brute_force(spark):
+    """Near copies of one text that often do not link with each other, and passages that most of a text consists of."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base, lines = rng.choices(words, k=110), [rng.choices(words, k=25) for _ in range(3)]
+    rows = []
+    for i in range(260):
+        near = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        own = rng.choices(words, k=rng.choice([4, 9, 30, 200]))
+        rows.append((i, " ".join(near if i % 2 else own + sum(rng.sample(lines, rng.randint(1, 3)), []))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for region, inner in ((8, 64), (3, 10)):
+        got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates.classes(frame, region=region, inner=inner).collect()}
+        assert got == brute_classes(rows)
+
+
 def test_sketch_never_exceeds_the_symmetric_difference():
     rng = np.random.default_rng(5)
     for n, m, k in [(1, 1, 0), (3, 70, 2), (200, 150, 140), (5000, 40, 40), (900, 900, 900)]:
