@@ -49,11 +49,13 @@ INNER = 64
 #: of them gives the same links; it bounds what is sent to the executors.
 MOVED = 1_000_000
 #: Most rounds in which pivots are moved. Further ones would make regions smaller but leave the links as they are.
-ROUNDS = 8
+ROUNDS = 4
 #: Ids (8 bytes each) up to which a side is broadcast.
 BROADCAST_IDS = 200_000
 #: Most bits of a parity sketch. Fewer bits bound the difference less tightly and send more pairs to verification.
 SKETCH_BITS = 1 << 16
+#: Words of 64 bits in the short parity sketch by which documents of a large region are compared while they are joined.
+FOLD = 8
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -137,6 +139,11 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(found & np.int64(bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def fold(found: np.ndarray) -> np.ndarray:
+    """A sketch of FOLD words for sets of any size."""
+    return np.packbits(np.bincount(found & np.int64(64 * FOLD - 1), minlength=64 * FOLD) & 1, bitorder="little").view(np.int64)
+
+
 def least_apart(a: bytes, b: bytes) -> int:
     """A lower bound of two sets' symmetric difference: every shingle of it turns one bit. The longer sketch is folded."""
     one, other = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -150,13 +157,13 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, pivots, sketch) of (id, text): size, signature, first shingles (`kept` of them) and parities of each
-    set."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """(id, n, s1, s2, pivots, sketch, fold) of (id, text): size, signature, first shingles (`kept` of them) and parities
+    of each set."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fold", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, firsts, parities = [], [], [], [], []
+            n, s1, s2, firsts, parities, folds = [], [], [], [], [], []
             for raw in batch.column(1):
                 found = shingles(raw.as_buffer().to_pybytes() if raw.is_valid else None)
                 a, b = signature(found)
@@ -165,11 +172,13 @@ def sets(df: DataFrame) -> DataFrame:
                 s2.append(b)
                 firsts.append(found[: kept(len(found))])
                 parities.append(sketch(found) if len(found) else None)
+                folds.append(fold(found))
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             values = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary())], schema=schema)
+            short = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * FOLD), pa.array(np.concatenate([np.empty(0, np.int64), *folds])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary()), short], schema=schema)
 
-    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary")
+    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary, fold array<long>")
 
 
 _PLACED = "s long, x long, np long"
@@ -430,7 +439,7 @@ def _possible(pairs: DataFrame, uncounted: DataFrame, *more: str) -> DataFrame:
 
 def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = INNER) -> DataFrame:
     """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots,
-    sketch)."""
+    sketch, fold)."""
     sketches = firsts.select("id", "n", "sketch")
     rows = _placed_rows(df, firsts.select("id", "n", "pivots"), region)
     found = checkpoint(regions(rows.repartition("s").sortWithinPartitions("s", "x"), region))
@@ -441,7 +450,8 @@ def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = I
     verified = checkpoint(verify(pairs, texts))
     if not large.limit(1).count():
         return verified.where(_linked(verified)).select("x", "y")
-    return _inner(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")), _shared(found.where("s IS NULL")), verified, texts, sketches, inner)
+    members = checkpoint(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")).join(firsts.select(F.col("id").alias("x"), "fold"), "x"))
+    return _inner(members, _shared(found.where("s IS NULL")), verified, texts, sketches, inner)
 
 
 def _frequent(pivots: DataFrame, region: int, most: int) -> np.ndarray:
@@ -471,10 +481,11 @@ def _placed_rows(df: DataFrame, lists: DataFrame, region: int) -> DataFrame:
 
 
 def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, inner: int) -> DataFrame:
-    """Links, after the large regions' documents (s, x, first, n, at) have been joined across classes. `outside` are the
+    """Links, after the large regions' documents (s, x, first, n, at, fold) have been joined across classes. `outside` are the
     pivots that pairs share in other regions."""
     done = checkpoint(members.where("x = first").select("s", F.col("x").alias("p")))
     wanted, spread, small = 32, 1, True
+    apart = sum((F.bit_count(F.col("fold")[k].bitwiseXOR(F.col("p_fold")[k])) for k in range(1, FOLD)), F.bit_count(F.col("fold")[0].bitwiseXOR(F.col("p_fold")[0])))
     labels = components(verified.where(_linked(verified)))
     while True:
         rows = members.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
@@ -483,8 +494,8 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         away = verified.select(F.col("x").alias("a"), F.col("y").alias("b"), (1 - F.col("both") / F.col("either")).alias("d"))
         away = away.union(away.select("b", "a", "d"))
         rows = rows.join(top.select("s", "top", "size"), "s").join(away.select(F.col("a").alias("x"), F.col("b").alias("first"), "d"), ["x", "first"], "left")
-        rows = checkpoint(rows.select("s", "x", "n", "at", "label", "top", "size", "d"))
-        other = [F.col(c).alias(f"p_{c}") for c in ("x", "n", "at", "label", "d")]
+        rows = checkpoint(rows.select("s", "x", "n", "at", "fold", "label", "top", "size", "d"))
+        other = [F.col(c).alias(f"p_{c}") for c in ("x", "n", "at", "fold", "label", "d")]
         big = rows.where(F.col("size") > inner)
         waiting = big.where("label <> top").join(done.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
         counts = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
@@ -498,12 +509,14 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         tried = sides.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x AND (is_pivot IS NULL OR x < p_x)")
         if small:
             few = rows.where(F.col("size") <= inner)
-            tried = tried.select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d").union(few.join(few.select("s", *other), "s").where("label <> p_label AND x < p_x").select("s", "x", "n", "at", "d", "p_x", "p_n", "p_at", "p_d"))
+            names = ["s", "x", "n", "at", "fold", "d", "p_x", "p_n", "p_at", "p_fold", "p_d"]
+            tried = tried.select(names).union(few.join(few.select("s", *other), "s").where("label <> p_label AND x < p_x").select(names))
         elif not chosen.limit(1).count():
             return verified.where(_linked(verified)).select("x", "y")
         tried = tried.where(F.col("d").isNull() | F.col("p_d").isNull() | (F.abs(F.col("d") - F.col("p_d")) <= 1 - PERCENT / 100 + 1e-9))
-        # Sizes, and what can be shared before and after this pivot, rule pairs out before they are shuffled.
+        # Sizes, short sketches, and what can be shared before and after this pivot rule pairs out as they are joined.
         most = F.least("at", "p_at") + 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("p_n") - 1 - F.col("p_at"))
+        tried = tried.where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("p_n")))
         tried = tried.where((100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & (most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("p_n"))))
         tried = tried.select("s", F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("y"), *(F.when(F.col("x") < F.col("p_x"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "p_n", "nx"), ("p_n", "n", "ny"), ("at", "p_at", "i"), ("p_at", "at", "j"))))
         shared = tried.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("i", "j", "nx", "ny")))
@@ -522,7 +535,7 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         if small:
             members = checkpoint(members.join(rows.where(F.col("size") > inner).select("s").distinct(), "s", "left_semi"))
             small = False
-        wanted, spread = wanted * 8, spread * 8
+        wanted, spread = wanted * 8, spread * 32
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, inner: int = INNER) -> DataFrame:
@@ -538,7 +551,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     n_repeated = repeated.count()
     copies = members.where("n > 0 AND (id IS NULL OR id <> rep)").select(F.col("id").alias("x")).distinct()
     n_copies = copies.count()
-    distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots", "sketch")
+    distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots", "sketch", "fold")
     if n_copies:
         copies = checkpoint(copies)
         distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
