@@ -156,6 +156,16 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
+def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; a worker that waits for its next task gives back what its batches took."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freed, schema)
+
+
 def sets(df: DataFrame) -> DataFrame:
     """(id, n, s1, s2, pivots, sketch, fold) of (id, text): size, signature, first shingles (`kept` of them) and parities
     of each set."""
@@ -178,7 +188,7 @@ def sets(df: DataFrame) -> DataFrame:
             short = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * FOLD), pa.array(np.concatenate([np.empty(0, np.int64), *folds])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary()), short], schema=schema)
 
-    return df.mapInArrow(run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary, fold array<long>")
+    return _mapped(df, run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary, fold array<long>")
 
 
 _PLACED = "s long, x long, np long"
@@ -250,7 +260,7 @@ def placed(lists: DataFrame, moved: np.ndarray) -> DataFrame:
 
         yield from _chunked(made(), _PLACED_SCHEMA)
 
-    return lists.mapInArrow(run, _PLACED)
+    return _mapped(lists, run, _PLACED)
 
 
 def entered(lists: DataFrame, moved: np.ndarray, before: np.ndarray) -> DataFrame:
@@ -271,7 +281,7 @@ def entered(lists: DataFrame, moved: np.ndarray, before: np.ndarray) -> DataFram
             u = np.concatenate(new)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(u), pa.nulls(len(short), pa.int64())]), pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(short, pa.int64())])], schema=schema)
 
-    return lists.mapInArrow(run, "u long, x long")
+    return _mapped(lists, run, "u long, x long")
 
 
 def whole(texts: DataFrame) -> DataFrame:
@@ -283,7 +293,7 @@ def whole(texts: DataFrame) -> DataFrame:
                 found = shingles(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([len(found)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], names=["id", "n", "pivots"])
 
-    return texts.mapInArrow(run, "id long, n long, pivots array<long>")
+    return _mapped(texts, run, "id long, n long, pivots array<long>")
 
 
 def regions(rows: DataFrame, region: int) -> DataFrame:
@@ -345,7 +355,7 @@ def regions(rows: DataFrame, region: int) -> DataFrame:
                 held = (empty, empty, empty)
         yield from work(*held)
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _mapped(rows, run, ", ".join(f"{c} long" for c in names))
 
 
 def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -367,7 +377,7 @@ def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFra
                 either.append(len(one) + len(last[1]) - k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], schema=schema)
 
-    return rows.mapInArrow(run, "x long, y long, both long, either long")
+    return _mapped(rows, run, "x long, y long, both long, either long")
 
 
 def resembling(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -383,7 +393,7 @@ def resembling(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             keep = pa.array((100 + PERCENT) * apart <= (100 - PERCENT) * both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
-    return rows.mapInArrow(run, "x long, y long")
+    return _mapped(rows, run, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
