@@ -50,3 +50,17 @@ def test_short_quotations_are_found(spark):
 def test_budget_skips_and_never_cuts(spark):
     spans = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 4), ("a", 4, 1)], "g string, o int, n int")
     assert ranking.budget_fit(spans, "g", "o", "n", limit=2, budget=10).first().kept == "1,3"
+
+
+def test_structural_verdicts_cover_every_pair(spark, tmp_path):
+    """Keys whose last digits differ, as most do."""
+    tables = {"part": ([(1,), (2,), (30,)], "p_partkey long"), "supplier": ([(5,), (7,)], "s_suppkey long"), "lineitem": ([(1, 1, 7), (1, 2, 5), (2, 2, 5), (3, None, 5)], "l_orderkey long, l_partkey long, l_suppkey long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(map(tuple, registry.queries()["structural_check_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 5, "EXPLICIT_CONTRADICTION"), (1, 7, "SUPPORTED"), (2, 5, "SUPPORTED"), (2, 7, "EXPLICIT_CONTRADICTION"), (30, 5, "NOT_ESTABLISHED")]
+
+
+def test_structural_verdicts_support_all_order_lines(spark, sf_dir):
+    supported = registry.queries()["structural_check_all"](spark, sf_dir).where("verdict = 'SUPPORTED'")
+    assert supported.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
