@@ -22,6 +22,8 @@ first. The rest is joined in regions around pivots:
    difference, so no link is lost). Distances to a region's first pivot are computed without the sketch, as the
    triangle inequality needs them. All other pairs are verified on the whole sets. Links of one class are not all
    listed, but no two classes with a link stay apart.
+4. Links are counted, where asked for, on the whole sets of each class: every two of its sets are compared in one task,
+   and a number for each document is all that leaves it.
 
 Defined results: null or empty text, or one without words, has an empty set, links with nothing and is its own class;
 fewer than five words are one shingle; equal rows count as one document with copies; a class's id is its least id;
@@ -56,6 +58,12 @@ BROADCAST_IDS = 200_000
 SKETCH_BITS = 1 << 16
 #: Words of 64 bits in the short parity sketch by which documents of a large region are compared while they are joined.
 FOLD = 8
+#: Shingles (8 bytes each) of a class, or of a part of one, that a task holds to count links; a pair of parts is twice that.
+BLOCK = 1 << 19
+#: Sets of a part of a class at most, on average; two parts make a table of so many squared numbers of 4 bytes.
+PART = 2048
+#: Shingles that are compared at once as links are counted.
+COLUMNS = 1024
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -548,15 +556,82 @@ def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: C
         wanted, spread = wanted * 8, spread * 32
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, inner: int = INNER) -> DataFrame:
-    """(id, n_shingles, component_id, copy_of) for every row; copy_of is the least id with an equal set."""
+def link_counts(texts: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, linked) of (id, n, copies, label), a written table of distinct sets: how many rows have another set within
+    1/4. Links stand inside classes only. Small classes are dealt out whole, many to a task; those of more than `block`
+    shingles are cut by a hash of the id into parts, and each two parts are counted in a task of their own."""
+    sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
+    sizes = checkpoint(sizes.select("label", F.ceil(F.greatest(F.col("all") / block, F.col("k") / PART)).cast("int").alias("parts"), "all"))
+    n_bins = max(1, (sizes.where("parts = 1").agg(F.sum("all")).first()[0] or 0) // block)
+    rows = checkpoint(reps.join(sizes.drop("all"), "label").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")))
+    of = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("a"), F.greatest("part", j).alias("b"))))
+    dealt = rows.select("id", "copies", "label", "parts", "part", of.alias("of"))
+    dealt = dealt.select("id", "copies", "label", "part", "of.a", "of.b", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(n_bins))).otherwise(F.xxhash64("label", "of.a", "of.b")).alias("bin"), (F.col("parts") > 1).alias("cut"))
+    ids = rows.select(F.col("id").alias("x"))
+    dealt = dealt.join(_near(texts, ids, ids.count()), "id").select("bin", "cut", "label", "a", "b", "id", "copies", "part", "text")
+    schema = pa.schema([("id", pa.int64()), ("linked", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        label, a, b, ids, copies, part = (table.column(c).to_numpy() for c in ("label", "a", "b", "id", "copies", "part"))
+        found, out = [shingles(raw.as_buffer().to_pybytes()) for raw in table.column("text").combine_chunks()], []
+        order = np.lexsort((b, a, label))
+        turns = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
+        for at in np.split(order, turns):
+            left, right = at[part[at] == a[at[0]]], at[part[at] == b[at[0]]]
+            same = a[at[0]] == b[at[0]]
+            for x, linked in _links_between(found, copies, left, left if same else right, same):
+                out.append((ids[x], linked))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], schema=schema)
+
+    counted = dealt.groupBy("cut", "bin").applyInArrow(run, "id long, linked long")
+    return counted.groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def _links_between(found: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    """(place, copies of linked sets of the other side) of the places left and right, which are one part if `same`."""
+    if not len(left) or not len(right):
+        return
+    both = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate([found[x] for x in side]), np.repeat(np.arange(len(side)), [len(found[x]) for x in side])) for side in (left, right)]
+    # Only shingles that stand on both sides count, and of one part only those of two documents.
+    one, counts = np.unique(sides[0][0], return_counts=True)
+    shared = one[counts > 1] if same else np.intersect1d(one, sides[1][0])
+    places = []
+    for values, rows in sides:
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        keep = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        at, rows = at[keep], rows[keep]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], rows[order]))
+    for low in range(0, len(shared), COLUMNS):
+        wide = min(COLUMNS, len(shared) - low)
+        held = []
+        for (at, rows), side in zip(places, (left, right), strict=True):
+            some = slice(*np.searchsorted(at, [low, low + wide]))
+            m = np.zeros((len(side), wide), np.float32)
+            m[rows[some], at[some] - low] = 1
+            held.append(m)
+        both += held[0] @ held[1].T
+    n = [np.array([len(found[x]) for x in side], np.float64) for side in (left, right)]
+    linked = 100 * both.astype(np.float64) >= PERCENT * (n[0][:, None] + n[1][None, :] - both)
+    if same:
+        np.fill_diagonal(linked, False)
+    yield from zip(left, linked @ copies[right], strict=True)
+    if not same:
+        yield from zip(right, copies[left] @ linked, strict=True)
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, inner: int = INNER, count_links: bool = False, block: int = BLOCK) -> DataFrame:
+    """(id, n_shingles, component_id, copy_of) for every row; copy_of is the least id with an equal set. With count_links
+    also n_links: how many other rows have a set within 1/4, equal sets included."""
     texts = _texts(df, id_col, text_col)
     stored = checkpoint(sets(texts))
     small = stored.select("id", "n", "s1", "s2")
     groups = small.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Only sets of several documents move; single ones are their own.
-    several = groups.where("copies > 1").select("s1", "s2", "n", "rep")
-    members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    several = groups.where("copies > 1").select("s1", "s2", "n", "rep", "copies")
+    members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
     repeated = checkpoint(small.where("n > 0 AND id IS NOT NULL").groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
     n_repeated = repeated.count()
     copies = members.where("n > 0 AND (id IS NULL OR id <> rep)").select(F.col("id").alias("x")).distinct()
@@ -565,15 +640,21 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     if n_copies:
         copies = checkpoint(copies)
         distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
-    labels = components(links(_each_once(texts.where("id IS NOT NULL"), repeated, n_repeated), _each_once(distinct, repeated, n_repeated), region, inner))
+    once = _each_once(texts.where("id IS NOT NULL"), repeated, n_repeated)
+    labels = components(links(once, _each_once(distinct, repeated, n_repeated), region, inner))
+    more = []
+    if count_links:
+        reps = _each_once(members.where("n > 0 AND id = rep"), repeated, n_repeated).select("id", "n", "copies")
+        labels = labels.join(link_counts(once, checkpoint(reps.join(labels, "id")), block), "id", "left")
+        more = [F.when(F.col("n") > 0, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links")]
     joined = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"))
+    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"), *more)
 
 
 def op6(df: DataFrame) -> DataFrame:
     """The digest columns of the join contract."""
-    found = classes(df)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    found = classes(df, count_links=True)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 def one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -259,6 +259,32 @@ def test_large_groups_and_passages_equal_brute_force(spark):
         assert got == brute_classes(rows)
 
 
+def test_links_equal_brute_force(spark):
+    """A group of near copies that do not all link with each other, exact copies, repeated and null-id rows; classes whole
+    and in parts."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    bases, rows = [rng.choices(words, k=n) for n in (110, 60, 8, 3)], []
+    for i in range(150):
+        near = list(bases[0] if i < 90 else rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        rows.append((i, " ".join(near)))
+    rows += [(i + 200, t) for i, t in rows[:9]] + rows[5:8] + [(None, rows[3][1]), (900, None), (901, "")]
+    got_sets = [word_set(t) for _, t in rows]
+    want = []
+    for k, (i, _) in enumerate(rows):
+        a = got_sets[k]
+        want.append((i, sum(j != k and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(got_sets))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (near_duplicates.BLOCK, 700):
+        got = near_duplicates.classes(frame, count_links=True, block=block)
+        assert sorted((r.id is not None, r.id, r.n_links) for r in got.where("id IS NOT NULL").collect()) == sorted((True, *w) for w in want if w[0] is not None)
+        assert [r.n_links for r in got.where("id IS NULL").collect()] == [n for i, n in want if i is None]
+    assert sum(n for _, n in want) > 2 * len(rows)
+    assert "n_links" in near_duplicates.op6(frame).columns
+
+
 def test_sketch_never_exceeds_the_symmetric_difference():
     rng = np.random.default_rng(5)
     for n, m, k in [(1, 1, 0), (3, 70, 2), (200, 150, 140), (5000, 40, 40), (900, 900, 900)]:
