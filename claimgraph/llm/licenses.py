@@ -1,10 +1,15 @@
 """License scans: an exact set-similarity join between license templates and text blocks.
 
-A template is the set of its words; a text block is a line of a document. A block matches a template if it holds at
-least `threshold` of the template's words. Words are ordered by how many blocks of the whole corpus hold them, rarest
-first; a block can only match if it shares one of the template's first |T| - ceil(threshold |T|) + 1 words (prefix
-filter), has enough distinct words (length filter), and enough words from the shared one on (positional filter).
-Survivors are counted exactly.
+A template is the set of its words. Text blocks are the lines of a document of at most `LINE_WORDS` words, and its runs of
+as many words as a template has, divided by `threshold`, at each place and across line ends. A block matches a template
+if it holds at least `threshold` of the template's words. Words are ordered by how many lines of the whole corpus hold
+them, rarest first; a block can only match if it shares one of the template's first |T| - ceil(threshold |T|) + 1 words
+(prefix filter), has enough distinct words (length filter), and enough words from the shared one on (positional filter).
+Survivors are counted exactly. A document's runs pass the filters together, as one block that holds them all. A run must
+also hold `threshold` of the template in its order, as words of neighbouring lines are no notice by themselves.
+
+Overlapping runs that match are one block, with the most that one of them holds, at the line of its first template word.
+It is left out if a line that it touches matches as a block and holds as much.
 
 Beside this, phrases of known licenses are found word for word. Defined results: null or empty text has no words, no
 places and no labels; repeated rows give repeated results; other columns of the input are not read.
@@ -13,8 +18,10 @@ places and no labels; repeated rows give repeated results; other columns of the
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +42,8 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 THRESHOLD = 0.8
+#: Words up to which a line is a block of its own; longer ones are seen by runs only.
+LINE_WORDS = 128
 _WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _BLOCK_BYTES = bytes(10 if c == 10 else _WORD_BYTES[c] for c in range(256))
 
@@ -64,6 +73,55 @@ def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[
     return [(label, frozenset(words(t.encode()))) for label, texts in templates.items() for t in texts]
 
 
+class Shape:
+    """A template's words in their order, and how many words the runs have that it is looked for in."""
+
+    def __init__(self, text: str, threshold: float):
+        self.order = words(text.encode())
+        self.length = math.floor(len(self.order) / threshold + 1e-9)
+        self.need = math.ceil(threshold * len(self.order) - 1e-9)
+        self.masks: dict[bytes, int] = {}
+        for i, w in enumerate(self.order):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+
+    def in_order(self, run: list[bytes]) -> int:
+        """Length of the longest common subsequence of a run and the template; each bit left is a word that lacks."""
+        full = (1 << len(self.order)) - 1
+        left = full
+        for w in run:
+            both = left & self.masks.get(w, 0)
+            left = ((left + both) | (left - both)) & full
+        return len(self.order) - left.bit_count()
+
+
+def shapes_of(templates: dict[str, list[str]], threshold: float) -> list[Shape]:
+    """In the order of template_sets."""
+    return [Shape(t, threshold) for texts in templates.values() for t in texts]
+
+
+def runs(found: list[bytes], shape: Shape, need: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, most distinct template words) of overlapping runs that hold at least `need` of them, and
+    enough of the template in its order."""
+    places = [i for i, w in enumerate(found) if w in shape.masks]
+    out: list[tuple[int, int, int]] = []
+    held: Counter[bytes] = Counter()
+    first = 0
+    for at in places:
+        held[found[at]] += 1
+        while at - places[first] >= shape.length:
+            w = found[places[first]]
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
+            first += 1
+        if len(held) >= need and shape.in_order(found[places[first] : at + 1]) >= shape.need:
+            if out and places[first] <= out[-1][1]:
+                out[-1] = (out[-1][0], at, max(out[-1][2], len(held)))
+            else:
+                out.append((places[first], at, len(held)))
+    return out
+
+
 def word_frequencies(df: DataFrame, text_col: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word stands; as many rows as templates have words."""
 
@@ -116,10 +174,27 @@ class TemplateIndex:
                     out.append((k, both / size))
         return out
 
+    def blocks(self, raw: bytes, found: list[bytes], shapes: list[Shape]) -> list[tuple[int, int, float]]:
+        """(line, template, containment) of the blocks of a text that match; found are its words."""
+        whole = self.match(found)
+        if not whole:
+            return []
+        lines = [line.split() for line in raw.translate(_BLOCK_BYTES).split(b"\n")]
+        ends = list(accumulate(map(len, lines)))
+        out = [(n, k, c) for n, line in enumerate(lines) if len(line) <= LINE_WORDS for k, c in self.match(line)]
+        held = {(n, k): c for n, k, c in out}
+        for k, _ in whole:
+            size = len(self.templates[k][1])
+            for first, last, most in runs(found, shapes[k], self.need[k]):
+                low, high = bisect_right(ends, first), bisect_right(ends, last)
+                if all(held.get((n, k), 0.0) < most / size for n in range(low, high + 1)):
+                    out.append((low, k, most / size))
+        return sorted(out)
+
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: word count, phrase places, matched blocks (line, label, containment) and a score."""
-    sets = template_sets(templates)
+    sets, shapes = template_sets(templates), shapes_of(templates, threshold)
     index = TemplateIndex(sets, word_frequencies(df, text_col, frozenset().union(*(t for _, t in sets))), threshold)
     quick = sorted({p.encode().split()[-1] for p in phrases})
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
@@ -136,8 +211,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                 out["places"].append([{"word": w, "label": label} for w, label in here])
                 blocks = []
                 if found and not index.prefix_words.isdisjoint(found):
-                    for n, line in enumerate(raw.translate(_BLOCK_BYTES).split(b"\n")):
-                        blocks += [{"line": n, "label": sets[k][0], "containment": c} for k, c in index.match(line.split())]
+                    blocks = [{"line": n, "label": sets[k][0], "containment": c} for n, k, c in index.blocks(raw, found, shapes)]
                 out["blocks"].append(blocks)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 

@@ -332,6 +332,44 @@ def test_licenses_equal_brute_force(spark, odd, empty):
     assert licenses.op9(odd).count() == len(ODD) and licenses.op9(empty).count() == 0
 
 
+BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met"
+
+
+def test_wrapped_notices_and_long_lines(spark):
+    filler = [f"q{i}" for i in range(400)]
+    bsd = license_words(BSD)
+    spread = " ".join(w for pair in zip(bsd, (f"{filler[i]} {filler[i + 1]} {filler[i + 2]} " * 3 for i in range(0, 300, 3)), strict=False) for w in pair)
+    isc = "Permission to use, copy, modify, and/or\n\ndistribute this software\nfor any purpose with or without\nfee is hereby granted"
+    rows = [(1, BSD), (2, "/*\n" + isc + "\n*/"), (3, " ".join(filler) + " " + " ".join(bsd) + " " + " ".join(filler)), (4, spread), (5, " ".join(bsd)), (6, BSD.split("\n")[0]), (7, "\n".join(bsd))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.op9(frame).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("isc", 1.0), 3: ("bsd", 1.0), 4: ("", 0.0), 5: ("bsd", 1.0), 6: ("", 0.0), 7: ("bsd", 1.0)}
+    blocks = {r.id: [(b.line, b.label) for b in r.blocks] for r in licenses.scan(frame).collect()}
+    assert blocks[1] == [(0, "bsd")] and blocks[2] == [(1, "isc")] and blocks[5] == [(0, "bsd")]
+
+
+def common(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        rows[i + 1][j + 1] = rows[i][j] + 1 if a[i] == b[j] else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+def test_license_runs_equal_brute_force():
+    rng, seen = random.Random(8), set()
+    for k in range(600):
+        text = " ".join(rng.choices("abcdef", k=rng.randint(1, 7)))
+        shape = licenses.Shape(text, rng.choice([0.6, 0.8, 1.0]))
+        part = shape.order if k % 2 else []
+        found = [rng.choice("abcdefxyz").encode() for _ in range(rng.randint(0, 9))] + part + [rng.choice("abcdefxyz").encode() for _ in range(rng.randint(0, 9))]
+        need = rng.randint(1, len(set(shape.order)))
+        windows = [found[i : i + shape.length] for i in range(len(found))]
+        best = max((n for w in windows if (n := len(set(shape.order) & set(w))) >= need and common(w, shape.order) >= shape.need), default=0)
+        assert max((m for _, _, m in licenses.runs(found, shape, need)), default=0) == best
+        seen.add(best > 0)
+    assert seen == {True, False}
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_decontamination_equals_brute_force(spark, odd, empty, most, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WORDS", most)
