@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.operators import ranking, structural, verification
+from claimgraph.operators import admission, ranking, structural, verification
 from claimgraph.plans import sql_plans
 from claimgraph.sources.tables import run_sql, table
 
@@ -54,6 +54,10 @@ def structural_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.check(structural.order_assertions(part, supplier, lineitem), lineitem.select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object")))
 
 
+def admission_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.admitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 BM25_ORACLE = f"""WITH b AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM b),
 p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM b) x WHERE term IN ({", ".join(f"'{t}'" for t in sorted(set(QUERY.split())))}) GROUP BY ALL),
@@ -69,6 +73,7 @@ SELECT doc_id, round(sum(part), 9) AS score FROM (SELECT doc_id, 1.0 / (60 + ran
     "json_flatten": (json_flatten, "SELECT event_id, concat('/', key) AS pointer, json_extract_string(props, concat('$.\"', key, '\"')) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) x"),
     "block_chunks": (block_chunks, "SELECT doc_id, i - 1 AS block, length(b[i]) AS n_chars FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents) x) y WHERE length(b[i]) > 0"),
     "span_budget_fit": (span_budget_fit, None),
+    "admission_status_all": (admission_status_all, admission.ORACLE),
     "structural_check_all": (structural_check_all, structural.ORDER_ORACLE),
 }
 

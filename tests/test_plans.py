@@ -64,3 +64,14 @@ def test_structural_verdicts_cover_every_pair(spark, tmp_path):
 def test_structural_verdicts_support_all_order_lines(spark, sf_dir):
     supported = registry.queries()["structural_check_all"](spark, sf_dir).where("verdict = 'SUPPORTED'")
     assert supported.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+
+
+def test_admission_reads_whole_texts(spark, tmp_path):
+    """A DOCTYPE behind a long comment, a long plain text, and the limit in bytes."""
+    limit = 8 * 1024 * 1024
+    documents = [(1, "x" * 20001), (2, "é" * (limit // 2)), (3, "é" * (limit // 2) + "x"), (4, None), (5, "a\0b")]
+    pages = [(1, "<!-- " + "licence " * 100 + "-->\n<!doctype html>"), (2, "<!DOCTYPE html>"), (3, "<p>")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.kind, r.id): r.status for r in registry.queries()["admission_status_all"](spark, str(tmp_path)).collect()}
+    assert got == {("document", 1): "ADMITTED", ("document", 2): "ADMITTED", ("document", 3): "OVERSIZE", ("document", 4): "NOT_A_FILE", ("document", 5): "BINARY_AS_TEXT", ("page", 1): "HOSTILE_MARKUP", ("page", 2): "HOSTILE_MARKUP", ("page", 3): "ADMITTED"}
