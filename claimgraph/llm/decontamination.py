@@ -9,7 +9,7 @@ last (length bound) go; the others are verified word for word, over all windows
 The corpus is cut into shingles once; those that the benchmark knows are written down, counted and joined. The
 benchmark's shingles and windows are broadcast when they are at most `BROADCAST_WORDS`, else joined by key; so are
 candidates per document. Defined results: null or empty text has no words, windows or hits; an item without words has
-no window; repeated rows give repeated results; documents are told apart by id and a hash of their text.
+no window; items of one id are looked for one by one, and one without an id hits but has no name to be counted; repeated rows give repeated results; documents are told apart by id and a hash of their text.
 """
 
 from __future__ import annotations
@@ -52,24 +52,27 @@ def _small(df: DataFrame, n: int, most: int) -> DataFrame:
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words, m, g) of items that have words: their number and the size of their shingles."""
+    """(key, item, words, m, g) of items that have words: their number and the size of their shingles. The key tells apart
+    items of one id, and those without an id."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    said = F.when(F.col("item").isNull(), "").otherwise(F.concat(F.lit("="), "item"))
+    rows = rows.withColumn("key", F.md5(F.concat(said, F.lit("\0"), F.array_join("words", " ")).cast("binary")))
     return rows.withColumn("m", F.size("words")).withColumn("g", F.least(F.lit(SHINGLE), "m"))
 
 
 def item_shingles(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """(item, m, g, token, at) of item_words' rows."""
-    parts = [items.where(F.col("g") == g).select("item", "m", "g", F.posexplode(shingle_hashes(F.col("words"), g)).alias("at", "token")) for g in sizes]
+    """(key, m, g, token, at) of item_words' rows."""
+    parts = [items.where(F.col("g") == g).select("key", "m", "g", F.posexplode(shingle_hashes(F.col("words"), g)).alias("at", "token")) for g in sizes]
     return reduce(DataFrame.unionByName, parts)
 
 
 def anchors(shingles: DataFrame, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(token, g, item, m, offset): per window its rarest shingle, at its offset in the item; windows share anchors."""
+    """(token, g, key, m, offset): per window its rarest shingle, at its offset in the item; windows share anchors."""
     rows = shingles.join(frequency, ["g", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    per_item = rows.groupBy("item", "m", "g").agg(F.array_sort(F.collect_list(F.struct("at", "df", "token"))).alias("w"))
+    per_item = rows.groupBy("key", "m", "g").agg(F.array_sort(F.collect_list(F.struct("at", "df", "token"))).alias("w"))
     span = F.least(F.lit(window), F.col("m"))
     best = F.transform(F.sequence(F.lit(0), F.col("m") - span), lambda j: F.array_min(F.transform(F.slice("w", j + 1, span - F.col("g") + 1), lambda x: F.struct(x["df"], x["token"], x["at"]))))
-    return per_item.select("item", "m", "g", F.explode(F.array_distinct(best)).alias("b")).select(F.col("b.token").alias("token"), "g", "item", "m", F.col("b.at").alias("offset"))
+    return per_item.select("key", "m", "g", F.explode(F.array_distinct(best)).alias("b")).select(F.col("b.token").alias("token"), "g", "key", "m", F.col("b.at").alias("offset"))
 
 
 def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -93,9 +96,9 @@ def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     span = F.least(F.lit(window), F.col("m"))
     # A window that holds the anchor begins at most span - g words before it and lies within item and document.
     first, last = F.greatest(F.lit(0), F.col("offset") - span + F.col("g"), -shift), F.least(F.col("offset"), F.col("m") - span, F.col("n") - span - shift)
-    found = found.where(first <= last).select("__id", "__hash", "item", shift.alias("shift"), first.alias("first"), last.alias("last"), span.alias("span"))
-    candidates = found.groupBy("__id", "__hash", "item", "shift", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    candidates = candidates.join(_small(wanted.select("item", "words"), wanted.count(), BROADCAST_WORDS // 10), "item")
+    found = found.where(first <= last).select("__id", "__hash", "key", shift.alias("shift"), first.alias("first"), last.alias("last"), span.alias("span"))
+    candidates = found.groupBy("__id", "__hash", "key", "shift", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    candidates = candidates.join(_small(wanted.select("key", "item", "words"), wanted.count(), BROADCAST_WORDS // 10), "key")
     per_document = checkpoint(candidates.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item", "shift", "first", "last", "span", "words")).alias("candidates"), F.count(F.lit(1)).alias("n")))
     total = per_document.agg(F.sum("n")).first()[0] or 0
     right = per_document.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "candidates")
@@ -114,7 +117,7 @@ def op10(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the decontamination contract."""
     found = hits(documents, benchmark)
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["words"] - 1))))
-    named = F.array_sort(F.array_distinct(F.col("hits.item")))
+    named = F.array_sort(F.array_compact(F.array_distinct(F.col("hits.item"))))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", F.size(places).cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 

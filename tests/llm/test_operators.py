@@ -398,3 +398,11 @@ def test_decontamination_equals_brute_force(spark, odd, empty, most, monkeypatch
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
     bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
     assert decontamination.op10(odd, bench).count() == len(ODD) and decontamination.op10(empty, bench).count() == 0
+
+
+def test_items_without_or_with_equal_ids(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    bench = spark.createDataFrame([(None, one), (7, other), (7, third), (7, third)], "item_id long, text string")
+    rows = [(1, f"x {one} y"), (2, f"x {other} y"), (3, third), (4, f"{third} {other}"), (5, "x y")]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontamination.op10(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (12, 0, True), 2: (12, 1, True), 3: (12, 1, True), 4: (24, 1, True), 5: (0, 0, False)}
