@@ -15,10 +15,26 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes of a batch that a Python worker gets at once, where the session says nothing else: a few very long texts
+#: fill a batch as well as many short ones.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+_SET = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", str(BATCH_BYTES))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers hold, unless the session has other values than Spark's own."""
+    for key, (default, value) in _SET.items():
+        if spark.conf.get(key, default) in (default, "2147483647", "256MB", "-1"):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, a temporary one will do if driver
+    and executors are one process; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="claimgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

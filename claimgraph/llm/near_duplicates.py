@@ -10,25 +10,22 @@ first. The rest is joined in regions around pivots:
    Pivots that would own more than `region` documents (a passage or a group of copies) go to the end of the order,
    whereby documents move on to the regions of their next pivots; those that so many move on to are moved as well, until
    none is left. Each document keeps some pivots beyond its window, so that its text is read again only if they run out.
-2. Regions of at most `region` documents are joined pairwise. Larger ones recurse: their least document is an inner
-   pivot, to which all distances are computed. Those within 1/4 are linked through it, so most regions are of one class
-   now. Where they are not, documents of different classes are joined: pairwise in regions of at most `inner`; in larger
-   ones, documents outside the largest class become pivots, more in each round; as a group of copies shares many regions,
-   each acts in one region first and in more only while it stays outside. Documents are compared only if
-   their distances to the region's first pivot differ by at most 1/4 (triangle inequality). A region is done when it is
-   of one class or all documents outside its largest class have been pivots.
-3. Pairs whose shared pivots and remaining lengths cannot add up to the needed intersection are dropped, and those whose
-   parity sketches differ in more bits than two linked sets can differ in shingles (a lower bound of their symmetric
-   difference, so no link is lost). Distances to a region's first pivot are computed without the sketch, as the
-   triangle inequality needs them. All other pairs are verified on the whole sets. Links of one class are not all
-   listed, but no two classes with a link stay apart.
+2. Regions of at most `region` documents are joined pairwise. Pairs whose shared pivots and remaining lengths cannot add
+   up to the needed intersection are dropped, and those whose parity sketches differ in more bits than two linked sets can
+   differ in shingles (a lower bound of their symmetric difference, so no link is lost); the rest is verified on the whole
+   sets.
+3. Larger regions of one first document together are its ball: a group of copies shares many regions, and most of them have
+   the same first document, so that each pair meets in a few balls only. Balls that fit into a task are compared there; larger
+   ones become Voronoi cells around some of their documents, boundary documents being replicated by the triangle
+   inequality, and cells of cells (`set_groups`). Links of one class are not all listed, but no two classes with a link
+   stay apart.
 4. Links are counted, where asked for, on the whole sets of each class: every two of its sets are compared in one task,
    and a number for each document is all that leaves it.
 
 Defined results: null or empty text, or one without words, has an empty set, links with nothing and is its own class;
-fewer than five words are one shingle; equal rows count as one document with copies; a class's id is its least id;
-rows without an id join the class of their set if it has one with an id. An id must not stand for several texts.
-Shingles are told apart by their 64-bit hashes.
+fewer than five words are one shingle; equal rows count as one document with copies; a class's id is its least id, null if
+no row of it has one. Rows without an id are documents like others; those of equal texts are repeated rows. An id must not
+stand for several texts, nor be above 2^62. Other columns are not read. Shingles are told apart by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,131 +34,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import checkpoint
+from claimgraph.llm import set_groups
+from claimgraph.llm.common import checkpoint, small_batches
+from claimgraph.llm.shingling import PERCENT, kept, least_apart, shingles, signature, sketch, window
 
-SHINGLE = 5
-#: Links: 100 * intersection >= PERCENT * union.
-PERCENT = 75
 REGION = 8
-INNER = 64
 #: At most so many outer pivots (8 bytes each) are moved to the end of the order, the most frequent first. Any choice
 #: of them gives the same links; it bounds what is sent to the executors.
 MOVED = 1_000_000
 #: Most rounds in which pivots are moved. Further ones would make regions smaller but leave the links as they are.
 ROUNDS = 4
-#: Ids (8 bytes each) up to which a side is broadcast.
-BROADCAST_IDS = 200_000
-#: Most bits of a parity sketch. Fewer bits bound the difference less tightly and send more pairs to verification.
-SKETCH_BITS = 1 << 16
-#: Words of 64 bits in the short parity sketch by which documents of a large region are compared while they are joined.
-FOLD = 8
-#: Shingles (8 bytes each) of a class, or of a part of one, that a task holds to count links; a pair of parts is twice that.
-BLOCK = 1 << 19
-#: Sets of a part of a class at most, on average; two parts make a table of so many squared numbers of 4 bytes.
-PART = 2048
-#: Shingles that are compared at once as links are counted.
-COLUMNS = 1024
+#: Rows without an id get one from here up, by their text. Ids are expected below it.
+NAMELESS = 1 << 62
 
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-with np.errstate(over="ignore"):
-    _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-    _PLACE = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(SHINGLE)]
-
-
-class _Powers:
-    """Powers of a base modulo 2^64, as far as texts have needed them."""
-
-    def __init__(self, base: int):
-        self.base, self.known = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.known) < n:
-            steps = np.full(max(n, 1 << 16), self.base, np.uint64)
-            steps[0] = 1
-            self.known = np.cumprod(steps, dtype=np.uint64)
-        return self.known[:n]
-
-
-_UP, _DOWN = _Powers(_BASE), _Powers(_INVERSE)
-
-
-def shingles(raw: bytes | None) -> np.ndarray:
-    """The set of a text, as sorted signed 64-bit hashes."""
-    if not raw:
-        return np.empty(0, np.int64)
-    b = np.frombuffer(raw.translate(_LOWER), np.uint8)
-    inside = np.empty(len(b) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[b]
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    first, last = turns[::2], turns[1::2]
-    if not len(first):
-        return np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * _UP.upto(len(b)), out=sums[1:])
-        words = _mix((sums[last] - sums[first]) * _DOWN.upto(len(b))[first] + (last - first).astype(np.uint64))
-        n = len(words) - SHINGLE + 1
-        size = SHINGLE if n > 0 else len(words)
-        total = np.full(max(n, 1), size * 0x632BE5AB, np.uint64)
-        for i in range(size):
-            total += words[i : i + max(n, 1)] * _PLACE[i]
-        return np.unique(_mix(total).view(np.int64))
-
-
-def window(n: int) -> int:
-    """How many of its first pivots a set of n must be replicated to."""
-    return n - -(-PERCENT * n // 100) + 1 if n else 0
-
-
-def kept(n: int) -> int:
-    """How many pivots a set of n keeps: its window, and more for those that may be moved."""
-    return window(n) + window(n) // 8 + 16
-
-
-def signature(found: np.ndarray) -> tuple[int, int]:
-    u = found.view(np.uint64)
-    with np.errstate(over="ignore"):
-        return int(u.sum(dtype=np.uint64).view(np.int64)), int(_mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of as many bits as the set is large, a power of two from 64 up."""
-    bits = min(SKETCH_BITS, 1 << max(6, (len(found) - 1).bit_length()))
-    return np.packbits(np.bincount(found & np.int64(bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
-
-
-def fold(found: np.ndarray) -> np.ndarray:
-    """A sketch of FOLD words for sets of any size."""
-    return np.packbits(np.bincount(found & np.int64(64 * FOLD - 1), minlength=64 * FOLD) & 1, bitorder="little").view(np.int64)
-
-
-def least_apart(a: bytes, b: bytes) -> int:
-    """A lower bound of two sets' symmetric difference: every shingle of it turns one bit. The longer sketch is folded."""
-    one, other = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(one) > len(other):
-        one, other = other, one
-    return int(np.bitwise_count(one ^ np.bitwise_xor.reduce(other.reshape(-1, len(one)), axis=0)).sum())
+def _key(id_col: Column, text: Column) -> Column:
+    """A row's id; one by its text for rows without an id."""
+    return F.coalesce(id_col.cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text.cast("string")), F.lit(NAMELESS)))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return df.select(_key(F.col(id_col), F.col(text_col)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -175,13 +71,13 @@ def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def sets(df: DataFrame) -> DataFrame:
-    """(id, n, s1, s2, pivots, sketch, fold) of (id, text): size, signature, first shingles (`kept` of them) and parities
-    of each set."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fold", pa.list_(pa.int64()))])
+    """(id, n, s1, s2, pivots, sketch) of (id, text): size, signature, first shingles (`kept` of them) and parities of
+    each set."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, firsts, parities, folds = [], [], [], [], [], []
+            n, s1, s2, firsts, parities = [], [], [], [], []
             for raw in batch.column(1):
                 found = shingles(raw.as_buffer().to_pybytes() if raw.is_valid else None)
                 a, b = signature(found)
@@ -190,13 +86,11 @@ def sets(df: DataFrame) -> DataFrame:
                 s2.append(b)
                 firsts.append(found[: kept(len(found))])
                 parities.append(sketch(found) if len(found) else None)
-                folds.append(fold(found))
             ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
             values = pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64))
-            short = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * FOLD), pa.array(np.concatenate([np.empty(0, np.int64), *folds])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary()), short], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(parities, pa.binary())], schema=schema)
 
-    return _mapped(df, run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary, fold array<long>")
+    return _mapped(df, run, "id long, n long, s1 long, s2 long, pivots array<long>, sketch binary")
 
 
 _PLACED = "s long, x long, np long"
@@ -391,7 +285,7 @@ def verify(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFra
 def resembling(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (x, y), a written table, whose sketches (id, n, sketch) do not rule a link out."""
     ids = checkpoint(pairs.select("x").union(pairs.select("y")).distinct())
-    t = _near(sketches, ids, ids.count())
+    t = set_groups.near(sketches, ids, ids.count())
     rows = pairs.select("x", "y").join(t.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("a")), "x").join(t.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("b")), "y").select("x", "y", "nx", "ny", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,56 +314,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(verified: DataFrame) -> Column:
+def _linked() -> Column:
     return F.col("both") * 100 >= F.col("either") * PERCENT
 
 
-def _near(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of (id, ...) whose ids are among (x)."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("id") == F.col("x"), "left_semi")
-
-
 def _each_once(df: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
     """df with each id once; only the rows of the n ids that are repeated (x) move."""
     if not n:
         return df
-    repeated = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    repeated = F.broadcast(repeated) if n <= set_groups.BROADCAST_IDS else repeated
     alone = df.join(repeated, F.col("id") == F.col("x"), "left_anti")
     return alone.unionByName(df.join(repeated, F.col("id") == F.col("x"), "left_semi").dropDuplicates(["id"]))
 
 
 def _shared(found: DataFrame) -> DataFrame:
-    """(x, y, c, i, j, nx, ny, pivot), x < y: how many pivots two documents share, the last one's places, their sizes,
-    and whether one is a large region's first document."""
+    """(x, y, c, i, j, nx, ny), x < y: how many pivots two documents share, the last one's places, and their sizes."""
     up = F.col("x") < F.col("y")
     pick = lambda a, b: F.max(F.when(up, F.col(a)).otherwise(F.col(b)))
-    return found.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), pick("i", "j").alias("i"), pick("j", "i").alias("j"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"), F.max(F.col("s").isNotNull()).alias("pivot"))
+    return found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), pick("i", "j").alias("i"), pick("j", "i").alias("j"), pick("nx", "ny").alias("nx"), pick("ny", "nx").alias("ny"))
 
 
-def _possible(pairs: DataFrame, uncounted: DataFrame, *more: str) -> DataFrame:
+def _possible(pairs: DataFrame, uncounted: DataFrame) -> DataFrame:
     """Pairs (x, y) whose sizes fit and that can still reach the needed intersection: the shared pivots, those that may
     be shared without having been counted (uncounted: id, b), and all shingles after the last shared pivot."""
     pairs = pairs.join(uncounted.select(F.col("id").alias("x"), F.col("b").alias("bx")), "x", "left").join(uncounted.select(F.col("id").alias("y"), F.col("b").alias("by")), "y", "left")
     most = F.col("c") + F.least(F.coalesce("bx", F.lit(0)), F.coalesce("by", F.lit(0))) + F.least(F.col("nx") - 1 - F.col("i"), F.col("ny") - 1 - F.col("j"))
     fits = (100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (most * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
-    return pairs.where(fits).select("x", "y", *more)
+    return pairs.where(fits).select("x", "y")
 
 
-def links(df: DataFrame, firsts: DataFrame, region: int = REGION, inner: int = INNER) -> DataFrame:
+def links(df: DataFrame, firsts: DataFrame, region: int = REGION, block: int = set_groups.BLOCK, part: tuple[int, int] = set_groups.PART) -> DataFrame:
     """Verified links (x, y) between distinct sets that make up all classes; df is (id, text), firsts (id, n, pivots,
-    sketch, fold)."""
-    sketches = firsts.select("id", "n", "sketch")
+    sketch)."""
     rows = _placed_rows(df, firsts.select("id", "n", "pivots"), region)
     found = checkpoint(regions(rows.repartition("s").sortWithinPartitions("s", "x"), region))
     large = found.where("s IS NOT NULL")
-    texts = lambda ids: _near(df, c := checkpoint(ids), c.count())
-    possible = checkpoint(_possible(_shared(found), large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b")), "pivot"))
-    pairs = checkpoint(possible.where("pivot").select("x", "y").union(resembling(possible.where("NOT pivot"), sketches)))
-    verified = checkpoint(verify(pairs, texts))
+    uncounted = large.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))
+    pairs = checkpoint(resembling(checkpoint(_possible(_shared(found.where("s IS NULL")), uncounted)), firsts.select("id", "n", "sketch")))
+    verified = verify(pairs, lambda ids: set_groups.near(df, c := checkpoint(ids), c.count()))
+    near = checkpoint(verified.where(_linked()).select("x", "y"))
     if not large.limit(1).count():
-        return verified.where(_linked(verified)).select("x", "y")
-    members = checkpoint(large.select("s", "x", F.col("y").alias("first"), F.col("nx").alias("n"), F.col("i").alias("at")).join(firsts.select(F.col("id").alias("x"), "fold"), "x"))
-    return _inner(members, _shared(found.where("s IS NULL")), verified, texts, sketches, inner)
+        return near
+    # Regions of one first document share most of their documents; together they are its ball, compared once.
+    balls = checkpoint(large.select(F.col("y").alias("g"), F.col("x").alias("id"), F.col("nx").alias("n")).distinct().withColumn("home", F.lit(True)))
+    return near.union(set_groups.forests(set_groups.cells(balls, df, block, part), df, block, part))
 
 
 def _frequent(pivots: DataFrame, region: int, most: int) -> np.ndarray:
@@ -487,7 +375,7 @@ def _placed_rows(df: DataFrame, lists: DataFrame, region: int) -> DataFrame:
         new = checkpoint(entered(lists if more is None else lists.unionByName(more), moved, before))
         short = checkpoint(new.where("x IS NOT NULL").select("x").distinct())
         if n := short.count():
-            added = checkpoint(whole(_near(df, short, n)))
+            added = checkpoint(whole(set_groups.near(df, short, n)))
             more = added if more is None else more.unionByName(added)
             new = new.unionByName(entered(added, moved, moved))
         further = np.setdiff1d(_frequent(new.where("u IS NOT NULL").select("u"), region, MOVED - len(moved)), moved) if k < ROUNDS - 1 and len(moved) < MOVED else before[:0]
@@ -498,133 +386,10 @@ def _placed_rows(df: DataFrame, lists: DataFrame, region: int) -> DataFrame:
     return rows if more is None else rows.unionByName(placed(more, moved))
 
 
-def _inner(members: DataFrame, outside: DataFrame, verified: DataFrame, texts: Callable[[DataFrame], DataFrame], sketches: DataFrame, inner: int) -> DataFrame:
-    """Links, after the large regions' documents (s, x, first, n, at, fold) have been joined across classes. `outside` are the
-    pivots that pairs share in other regions."""
-    done = checkpoint(members.where("x = first").select("s", F.col("x").alias("p")))
-    wanted, spread, small = 32, 1, True
-    apart = sum((F.bit_count(F.col("fold")[k].bitwiseXOR(F.col("p_fold")[k])) for k in range(1, FOLD)), F.bit_count(F.col("fold")[0].bitwiseXOR(F.col("p_fold")[0])))
-    labels = components(verified.where(_linked(verified)))
-    while True:
-        rows = members.join(labels.select(F.col("id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        share = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
-        top = share.groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        away = verified.select(F.col("x").alias("a"), F.col("y").alias("b"), (1 - F.col("both") / F.col("either")).alias("d"))
-        away = away.union(away.select("b", "a", "d"))
-        rows = rows.join(top.select("s", "top", "size"), "s").join(away.select(F.col("a").alias("x"), F.col("b").alias("first"), "d"), ["x", "first"], "left")
-        rows = checkpoint(rows.select("s", "x", "n", "at", "fold", "label", "top", "size", "d"))
-        other = [F.col(c).alias(f"p_{c}") for c in ("x", "n", "at", "fold", "label", "d")]
-        big = rows.where(F.col("size") > inner)
-        waiting = big.where("label <> top").join(done.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti")
-        counts = waiting.groupBy("s").agg(F.count(F.lit(1)).alias("w"), F.min_by("x", F.xxhash64("x")).alias("least"))
-        # About `wanted` of each region's waiting documents, one at least, alike in regions that share them; each in its
-        # `spread` largest regions.
-        chosen = waiting.join(counts, "s").where((F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x"), F.lit(1 << 20)) * F.col("w") < wanted << 20)).drop("w", "least")
-        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.col("size").desc(), "s"))
-        chosen = checkpoint(chosen.withColumn("rank", rank).where(F.col("rank") <= spread).drop("rank"))
-        # A pair of two pivots is taken from one side only.
-        sides = big.join(chosen.select("s", "x", F.lit(True).alias("is_pivot")), ["s", "x"], "left")
-        tried = sides.join(chosen.select("s", *other), "s").where("label <> p_label AND x <> p_x AND (is_pivot IS NULL OR x < p_x)")
-        if small:
-            few = rows.where(F.col("size") <= inner)
-            names = ["s", "x", "n", "at", "fold", "d", "p_x", "p_n", "p_at", "p_fold", "p_d"]
-            tried = tried.select(names).union(few.join(few.select("s", *other), "s").where("label <> p_label AND x < p_x").select(names))
-        elif not chosen.limit(1).count():
-            return verified.where(_linked(verified)).select("x", "y")
-        tried = tried.where(F.col("d").isNull() | F.col("p_d").isNull() | (F.abs(F.col("d") - F.col("p_d")) <= 1 - PERCENT / 100 + 1e-9))
-        # Sizes, short sketches, and what can be shared before and after this pivot rule pairs out as they are joined.
-        most = F.least("at", "p_at") + 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("p_n") - 1 - F.col("p_at"))
-        tried = tried.where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("p_n")))
-        tried = tried.where((100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & (most * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("p_n"))))
-        tried = tried.select("s", F.least("x", "p_x").alias("x"), F.greatest("x", "p_x").alias("y"), *(F.when(F.col("x") < F.col("p_x"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "p_n", "nx"), ("p_n", "n", "ny"), ("at", "p_at", "i"), ("p_at", "at", "j"))))
-        shared = tried.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("i", "j", "nx", "ny")))
-        shared = shared.join(outside.select("x", "y", F.col("c").alias("oc"), F.col("i").alias("oi"), F.col("j").alias("oj")), ["x", "y"], "left")
-        shared = shared.select("x", "y", (F.col("c") + F.coalesce("oc", F.lit(0))).alias("c"), F.greatest("i", "oi").alias("i"), F.greatest("j", "oj").alias("j"), "nx", "ny")
-        # Regions left out this round, or by the window, may hold shared pivots that were not counted.
-        uncounted = rows.where((F.col("size") > inner) | F.col("d").isNotNull()).groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("b"))
-        fresh = checkpoint(_possible(shared, uncounted).join(verified.select("x", "y"), ["x", "y"], "left_anti"))
-        fresh = checkpoint(resembling(fresh, sketches))
-        done = checkpoint(done.union(chosen.select("s", F.col("x").alias("p"))))
-        if fresh.limit(1).count():
-            new = checkpoint(verify(fresh, texts))
-            verified = verified.union(new)
-            if new.where(_linked(new)).limit(1).count():
-                labels = components(verified.where(_linked(verified)))
-        if small:
-            members = checkpoint(members.join(rows.where(F.col("size") > inner).select("s").distinct(), "s", "left_semi"))
-            small = False
-        wanted, spread = wanted * 8, spread * 32
-
-
-def link_counts(texts: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, linked) of (id, n, copies, label), a written table of distinct sets: how many rows have another set within
-    1/4. Links stand inside classes only. Small classes are dealt out whole, many to a task; those of more than `block`
-    shingles are cut by a hash of the id into parts, and each two parts are counted in a task of their own."""
-    sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
-    sizes = checkpoint(sizes.select("label", F.ceil(F.greatest(F.col("all") / block, F.col("k") / PART)).cast("int").alias("parts"), "all"))
-    n_bins = max(1, (sizes.where("parts = 1").agg(F.sum("all")).first()[0] or 0) // block)
-    rows = checkpoint(reps.join(sizes.drop("all"), "label").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")))
-    of = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("a"), F.greatest("part", j).alias("b"))))
-    dealt = rows.select("id", "copies", "label", "parts", "part", of.alias("of"))
-    dealt = dealt.select("id", "copies", "label", "part", "of.a", "of.b", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(n_bins))).otherwise(F.xxhash64("label", "of.a", "of.b")).alias("bin"), (F.col("parts") > 1).alias("cut"))
-    ids = rows.select(F.col("id").alias("x"))
-    dealt = dealt.join(_near(texts, ids, ids.count()), "id").select("bin", "cut", "label", "a", "b", "id", "copies", "part", "text")
-    schema = pa.schema([("id", pa.int64()), ("linked", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        label, a, b, ids, copies, part = (table.column(c).to_numpy() for c in ("label", "a", "b", "id", "copies", "part"))
-        found, out = [shingles(raw.as_buffer().to_pybytes()) for raw in table.column("text").combine_chunks()], []
-        order = np.lexsort((b, a, label))
-        turns = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1
-        for at in np.split(order, turns):
-            left, right = at[part[at] == a[at[0]]], at[part[at] == b[at[0]]]
-            same = a[at[0]] == b[at[0]]
-            for x, linked in _links_between(found, copies, left, left if same else right, same):
-                out.append((ids[x], linked))
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], schema=schema)
-
-    counted = dealt.groupBy("cut", "bin").applyInArrow(run, "id long, linked long")
-    return counted.groupBy("id").agg(F.sum("linked").alias("linked"))
-
-
-def _links_between(found: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
-    """(place, copies of linked sets of the other side) of the places left and right, which are one part if `same`."""
-    if not len(left) or not len(right):
-        return
-    both = np.zeros((len(left), len(right)), np.float32)
-    sides = [(np.concatenate([found[x] for x in side]), np.repeat(np.arange(len(side)), [len(found[x]) for x in side])) for side in (left, right)]
-    # Only shingles that stand on both sides count, and of one part only those of two documents.
-    one, counts = np.unique(sides[0][0], return_counts=True)
-    shared = one[counts > 1] if same else np.intersect1d(one, sides[1][0])
-    places = []
-    for values, rows in sides:
-        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
-        keep = shared[at] == values if len(shared) else np.zeros(len(values), bool)
-        at, rows = at[keep], rows[keep]
-        order = np.argsort(at, kind="stable")
-        places.append((at[order], rows[order]))
-    for low in range(0, len(shared), COLUMNS):
-        wide = min(COLUMNS, len(shared) - low)
-        held = []
-        for (at, rows), side in zip(places, (left, right), strict=True):
-            some = slice(*np.searchsorted(at, [low, low + wide]))
-            m = np.zeros((len(side), wide), np.float32)
-            m[rows[some], at[some] - low] = 1
-            held.append(m)
-        both += held[0] @ held[1].T
-    n = [np.array([len(found[x]) for x in side], np.float64) for side in (left, right)]
-    linked = 100 * both.astype(np.float64) >= PERCENT * (n[0][:, None] + n[1][None, :] - both)
-    if same:
-        np.fill_diagonal(linked, False)
-    yield from zip(left, linked @ copies[right], strict=True)
-    if not same:
-        yield from zip(right, copies[left] @ linked, strict=True)
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, inner: int = INNER, count_links: bool = False, block: int = BLOCK) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, count_links: bool = False, block: int = set_groups.BLOCK, part: tuple[int, int] = set_groups.PART) -> DataFrame:
     """(id, n_shingles, component_id, copy_of) for every row; copy_of is the least id with an equal set. With count_links
     also n_links: how many other rows have a set within 1/4, equal sets included."""
+    small_batches(df.sparkSession)
     texts = _texts(df, id_col, text_col)
     stored = checkpoint(sets(texts))
     small = stored.select("id", "n", "s1", "s2")
@@ -632,23 +397,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     # Only sets of several documents move; single ones are their own.
     several = groups.where("copies > 1").select("s1", "s2", "n", "rep", "copies")
     members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
-    repeated = checkpoint(small.where("n > 0 AND id IS NOT NULL").groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
+    repeated = checkpoint(small.where("n > 0").groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
     n_repeated = repeated.count()
-    copies = members.where("n > 0 AND (id IS NULL OR id <> rep)").select(F.col("id").alias("x")).distinct()
+    copies = checkpoint(members.where("n > 0 AND id <> rep").select(F.col("id").alias("x")).distinct())
     n_copies = copies.count()
-    distinct = stored.where("n > 0 AND id IS NOT NULL").select("id", "n", "pivots", "sketch", "fold")
+    distinct = stored.where("n > 0").select("id", "n", "pivots", "sketch")
     if n_copies:
-        copies = checkpoint(copies)
-        distinct = distinct.join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
-    once = _each_once(texts.where("id IS NOT NULL"), repeated, n_repeated)
-    labels = components(links(once, _each_once(distinct, repeated, n_repeated), region, inner))
+        distinct = distinct.join(F.broadcast(copies) if n_copies <= set_groups.BROADCAST_IDS else copies, F.col("id") == F.col("x"), "left_anti")
+    once = _each_once(texts, repeated, n_repeated)
+    labels = components(links(once, _each_once(distinct, repeated, n_repeated), region, block, part))
     more = []
     if count_links:
         reps = _each_once(members.where("n > 0 AND id = rep"), repeated, n_repeated).select("id", "n", "copies")
-        labels = labels.join(link_counts(once, checkpoint(reps.join(labels, "id")), block), "id", "left")
+        inside = checkpoint(reps.join(labels, "id").select(F.col("label").alias("g"), "id", "n", F.lit(True).alias("home"), "copies"))
+        labels = labels.join(set_groups.counts(inside, once, block, part), "id", "left")
         more = [F.when(F.col("n") > 0, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links")]
     joined = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"), *more)
+    named = lambda c: F.when(c < NAMELESS, c)
+    component = F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id"))
+    return joined.select(named(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), named(F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))).alias("copy_of"), *more, F.col("id").alias("key"), component.alias("component_key"))
 
 
 def op6(df: DataFrame) -> DataFrame:
@@ -658,7 +425,18 @@ def op6(df: DataFrame) -> DataFrame:
 
 
 def one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows whose id is their class's least id."""
-    found = classes(df, id_col, text_col)
-    gone = checkpoint(found.where("id <> component_id").select(F.col("id").alias("x")).distinct())
-    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col) == F.col("x"), "left_anti")
+    """df's rows without those that are near copies of a row that stays: of each class one row of its least id stays, also of
+    repeated rows and of classes without an id. Rows without words are no copies of anything and all stay. All columns are kept as
+    they are, whatever their names."""
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = classes(slim, "id", "text").where("n_shingles > 0")
+    gone = checkpoint(found.where("key <> component_key").select(F.col("key").alias("x")).distinct())
+    again = checkpoint(found.where("key = component_key").groupBy(F.col("key").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
+    rows = df.select(_key(F.col(id_col), F.col(text_col)).alias("id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    few = lambda t: F.broadcast(t) if t.count() <= set_groups.BROADCAST_IDS else t
+    left = rows.join(few(gone), F.col("id") == F.col("x"), "left_anti")
+    if again.limit(1).count():
+        several = few(again)
+        one = left.join(several, F.col("id") == F.col("x"), "left_semi").groupBy("id").agg(F.first("row").alias("row"))
+        left = left.join(several, F.col("id") == F.col("x"), "left_anti").unionByName(one)
+    return left.select("row.*")

@@ -10,8 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from claimgraph.llm import decontamination, licenses, media, mixing, near_duplicates, pages, quality, secret_scan, toxicity, warc
-from claimgraph.llm.common import shared_path
+from claimgraph.llm import decontamination, licenses, media, mixing, near_duplicates, pages, quality, secret_scan, set_groups, shingling, toxicity, warc
+from claimgraph.llm.common import checkpoint, shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rate double, x string"
 ODD = [(1, None, None, None, None, 1.0, "a"), (2, "", "en", "s", 0, None, None), (3, "word", "en", "s", 4, 2.0, "b"), (3, "word", "en", "s", 4, 2.0, "b"), (None, "a b c d e f g h", None, "t", 15, 0.0, "c"), (5, "the quick brown fox " * 5000, "en", "s", 100000, 1.0, "d")]
@@ -254,11 +254,50 @@ def test_large_groups_and_passages_equal_brute_force(spark):
         own = rng.choices(words, k=rng.choice([4, 9, 30, 200]))
         rows.append((i, " ".join(near if i % 2 else own + sum(rng.sample(lines, rng.randint(1, 3)), []))))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for region, inner in ((8, 64), (3, 10)):
-        got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates.classes(frame, region=region, inner=inner).collect()}
+    for region, block, part in ((8, set_groups.BLOCK, set_groups.PART), (3, 1 << 12, (10, 20)), (2, 1 << 14, (5, 5))):
+        got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates.classes(frame, region=region, block=block, part=part).collect()}
         assert got == brute_classes(rows)
 
 
+def test_cells_and_parts_lose_no_link(spark):
+    """Two clouds of near copies far from each other, and sets that are all alike far: cells, cells of cells and parts find
+    what comparing all pairs finds."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    bases = [rng.choices(words, k=60) for _ in range(3)]
+    rows = []
+    for i in range(160):
+        near = list(bases[i % 3]) if i < 120 else rng.choices(words, k=60)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        rows.append((i, " ".join(near)))
+    texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) as text")
+    sets = {i: word_set(t) for i, t in rows}
+    groups = checkpoint(spark.createDataFrame([(1, i, len(sets[i]), True) for i, _ in rows] + [(2, i, len(sets[i]), i < 30) for i, _ in rows], "g long, id long, n long, home boolean"))
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {a: {b for b in sets if b != a and linked(a, b)} for a in sets}
+    for part in ((4, 4), (16, 16)):
+        small = set_groups.cells(groups, texts, 1 << 20, part)
+        assert small.select("g").distinct().count() > 4
+        held = [(r.g, r.id, r.home) for r in small.collect()]
+        homes, members = defaultdict(set), defaultdict(set)
+        for g, i, home in held:
+            members[g].add(i)
+            homes[g] |= {i} if home else set()
+        meet = {frozenset((a, b)) for g in homes for a in homes[g] for b in members[g] if a != b}
+        assert all(frozenset((a, b)) in meet for a in want for b in want[a])
+        found = [(r.x, r.y) for r in set_groups.forests(small, texts, 1 << 20, part).collect()]
+        assert all(linked(a, b) for a, b in found) and components_of(sets, found) == components_of(sets, [(a, b) for a in want for b in want[a]])
+
+
+def components_of(nodes, edges):
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
 def test_links_equal_brute_force(spark):
     """A group of near copies that do not all link with each other, exact copies, repeated and null-id rows; classes whole
     and in parts."""
@@ -277,8 +316,8 @@ def test_links_equal_brute_force(spark):
         a = got_sets[k]
         want.append((i, sum(j != k and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(got_sets))))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (near_duplicates.BLOCK, 700):
-        got = near_duplicates.classes(frame, count_links=True, block=block)
+    for block, part in ((set_groups.BLOCK, set_groups.PART), (700, (20, 20))):
+        got = near_duplicates.classes(frame, count_links=True, block=block, part=part)
         assert sorted((r.id is not None, r.id, r.n_links) for r in got.where("id IS NOT NULL").collect()) == sorted((True, *w) for w in want if w[0] is not None)
         assert [r.n_links for r in got.where("id IS NULL").collect()] == [n for i, n in want if i is None]
     assert sum(n for _, n in want) > 2 * len(rows)
@@ -290,7 +329,7 @@ def test_sketch_never_exceeds_the_symmetric_difference():
     for n, m, k in [(1, 1, 0), (3, 70, 2), (200, 150, 140), (5000, 40, 40), (900, 900, 900)]:
         pool = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
         a, b = np.sort(pool[:n]), np.sort(pool[n - k : n - k + m])
-        apart = near_duplicates.least_apart(near_duplicates.sketch(a), near_duplicates.sketch(b))
+        apart = shingling.least_apart(shingling.sketch(a), shingling.sketch(b))
         assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or len(np.setxor1d(a, b)) < 3)
 
 
