@@ -8,9 +8,12 @@ close to their prior. A document's score adds to its own log-odds the path's log
 `site_weight`. The classifier and the shares read whole texts of all documents; only the fit of the classifier is
 bounded, to about `sample_rows` labelled rows.
 
+Every text is scored once: the scores are written with the rows, and shares and results come from that table.
+
 Defined results: null or empty text counts as an empty text with all measures 0; null hosts and paths form a site of
-their own; rows held out or without a label are never learnt from; without labels of both kinds every document gets
-the known share of good ones (1 if there is none). Repeated rows give repeated results, all columns are kept.
+their own; rows held out or without a label are never learnt from, and of several labels of one id the least counts;
+without labels of both kinds every document gets the known share of good ones (1 if there is none). Repeated rows give
+repeated results. The input's columns are returned as one struct, so none clashes with what is added.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import held_out
+from claimgraph.llm.common import checkpoint, held_out, small_batches
 
 SAMPLE_ROWS = 20_000
 #: A site table of at most so many rows (some tens of bytes each) is broadcast; a larger one is joined by key.
@@ -58,9 +61,10 @@ class Classifier:
     weights: list[float]
     intercept: float
 
-    def probability(self, x: list[float]) -> float:
-        z = self.intercept + sum(w * (v - m) / s for w, v, m, s in zip(self.weights, x, self.mean, self.scale, strict=True))
-        return 1 / (1 + math.exp(-max(-20.0, min(20.0, z))))
+    def probabilities(self, rows: list[list[float]]) -> np.ndarray:
+        x = np.array(rows, float).reshape(len(rows), len(self.weights))
+        z = (x - np.array(self.mean)) / np.array(self.scale) @ np.array(self.weights) + self.intercept
+        return 1 / (1 + np.exp(-np.clip(z, -20.0, 20.0)))
 
 
 def expand(x: list[float]) -> list[float]:
@@ -74,7 +78,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n = known.count()
     share = min(1.0, sample_rows / max(1, n))
     known = known.where((F.xxhash64("id", F.lit("quality")) % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000))
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "label")
+    # At most about `sample_rows` ids, so texts need not move.
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +106,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def probability(text: Column, model: Classifier) -> Column:
-    """The classifier's probability that a text is good."""
+    """The classifier's probability that a text is good, whole Arrow batches at a time."""
 
-    @F.udf("double", useArrow=True)
-    def good(text: str | None) -> float:
-        return model.probability(expand(measures(text)))
+    @F.arrow_udf("double")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(model.probabilities([expand(measures(t)) for t in texts.to_pylist()]), pa.float64())
 
     return good(text)
 
@@ -134,23 +139,26 @@ def _strength(share: float, q: float | None, n: int | None, n2: int | None, k: i
     return float(min(1e6, max(2.0, within / between - 1 if between > 0 else 1e6)))
 
 
-def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """All columns of documents, and quality_p, host_share, path_share, quality_score, quality_keep."""
+def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", site_weight: float = 0.5, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of documents (all, if none are named) as the struct `row`, and quality_p, host_share, path_share,
+    quality_score, quality_keep."""
+    small_batches(documents.sparkSession)
     model = fit(documents, labels, id_col, text_col)
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
-    scored = documents.withColumn("__host", host.cast("string")).withColumn("__path", path.cast("string")).withColumn("quality_p", probability(F.col(text_col), model))
-    sites = site_posteriors(scored, "__host", "__path", "quality_p").withColumnsRenamed({"__host": "__h", "__path": "__p"}).drop("n").persist()
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or documents.columns)).alias("row")
+    scored = checkpoint(documents.select(row, host.cast("string").alias("host"), path.cast("string").alias("path"), probability(F.col(text_col).cast("string"), model).alias("quality_p")))
+    sites = checkpoint(site_posteriors(scored, "host", "path", "quality_p").select(F.col("host").alias("h"), F.col("path").alias("p"), "host_share", "path_share", "global_share"))
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    joined = scored.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")), "left")
+    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     logit = lambda c: F.log(c / (1 - c))
     bound = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     z = logit(bound(F.col("quality_p"))) + site_weight * (logit(bound(F.col("path_share"))) - logit(bound(F.col("global_share"))))
     score = F.round(1 / (1 + F.exp(-z)), 9)
-    return joined.withColumn("quality_score", score).withColumn("quality_keep", F.col("quality_score") >= threshold).drop("__host", "__path", "__h", "__p", "global_share")
+    return joined.select("row", "quality_p", "host_share", "path_share", score.alias("quality_score"), (score >= threshold).alias("quality_keep"))
 
 
 def op3(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    found = classify(documents, labels)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality_p", "host_share", "path_share", "quality_score", "quality_keep")
+    found = classify(documents, labels, keep=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "quality_p", "host_share", "path_share", "quality_score", "quality_keep")
