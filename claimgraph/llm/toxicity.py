@@ -1,17 +1,23 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Training counts, for every word and word edge (first or last three to six characters), in how many toxic and other
-labelled documents it stands, and turns the counts into log-odds under an informative Dirichlet prior; those whose
-log-odds are `z_min` standard errors above zero are the signals. A word scores as its best-supported signal, any
-other word scores below zero. One linear scan finds all maximal-scoring segments of a document. A segment of score S
-among n words is expected K n exp(-lambda S) times by chance, lambda being the root of sum p exp(lambda s) = 1 over the
-words of documents that are not toxic; segments that are expected less than `e_max` times are passages. The best
-segment's evidence, -log10 of that expectation, becomes a probability by a logistic fit on the training rows.
+Training counts, for every word and word edge (first or last three to eight characters), in how many toxic and other
+labelled documents it stands, and turns the counts into log-odds under an informative Dirichlet prior: its pseudo-counts
+follow the feature's share of all labelled documents, and weigh `prior` times as much as these. Those features whose
+log-odds are at least `least` and `z_min` standard errors above zero are the signals. A word scores as its best-supported signal, any
+other word scores below zero. One scan, linear in the words, finds all maximal-scoring segments of a document.
+
+A segment of score S among n words is expected K n exp(-lambda S) times by chance. Both are taken from labelled documents
+that are not toxic: lambda is the root of sum p exp(lambda s) = 1 over their words, K follows from how many of their
+segments reach their median score. Segments that are expected less than `e_max` times are passages. A document's evidence joins
+its best segments: r normalised scores lambda S - ln(K n) that add up to T are reached by chance with a probability of
+about exp(-T) T^(r-1) / (r! (r-1)!), and the least of these, over r up to `MOST`, counts (each further r must halve it). Its
+-log10 becomes a probability by a logistic fit on the training rows that have a segment.
 
 Learning reads at most about `sample_rows` labelled rows, chosen by a hash of their ids; scoring reads every word of
-every text. Defined results: null or empty text has no segments and scores as evidence 0; rows without a label or
-held out are never learnt from; without any label of either kind every score is the share of toxic labels (0 if
-there are none). Columns of other names are ignored, repeated rows give repeated results.
+every text. Defined results: null or empty text has no segments; texts without segments score as the share of toxic ones
+among the training rows without any; rows without a label or held out are never learnt from, and of several labels of one id the
+largest counts; without any label of either kind every score is the share of toxic labels (0 if there are none). Columns of
+other names are ignored, repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -27,9 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import held_out
+from claimgraph.llm.common import checkpoint, held_out, small_batches
 
 SAMPLE_ROWS = 12_000
+#: Lengths of the word edges that are features.
+EDGES = range(3, 9)
+#: Most segments that a document's evidence joins.
+MOST = 8
+#: Evidence above this counts as this much.
+CEILING = 12.0
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 200_000
 
@@ -43,6 +55,12 @@ class Model:
     e_max: float = 0.01
     slope: float = 0.0
     intercept: float = -30.0
+    base: float = 0.0
+
+    def probability(self, evidence: float | None) -> float:
+        if evidence is None:
+            return self.base
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * min(evidence, CEILING) + self.intercept))))
 
 
 def tokens(text: str) -> list[str]:
@@ -51,30 +69,34 @@ def tokens(text: str) -> list[str]:
 
 def edges(word: str) -> list[str]:
     """The word and its edges, as features."""
-    n = len(word)
-    return [f"={word}", *(f"<{word[:i]}" for i in range(3, min(6, n) + 1)), *(f">{word[-i:]}" for i in range(3, min(6, n) + 1))]
+    lengths = range(EDGES.start, min(EDGES.stop, len(word) + 1))
+    return [f"={word}", *(f"<{word[:i]}" for i in lengths), *(f">{word[-i:]}" for i in lengths)]
+
 
+def maximal_segments(scores: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (start, end, score) of words of score `other` < 0 but for the given positive ones
+    (place, score), in one pass over the positive ones.
 
-def maximal_segments(scores: list[tuple[int, float]], n: int, other: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of n words of score `other` < 0 but for the given positive
-    ones (place, score), in one pass over the positive ones."""
-    out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum through
+    Each kept segment links to the last one before it whose sum before it is smaller. Whatever lies between the two has a
+    sum at least as large, so a search that gets to the one goes on at the other, and no segment is passed twice."""
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum through, link
     total, last = 0.0, 0
     for at, s in scores:
         total += other * (at - last)
         last = at + 1
         start, before, through = at, total, total + s
         total = through
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= before:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= through:
-                out.append((start, at + 1, before, through))
+                out.append((start, at + 1, before, through, j))
                 break
-            start, before = out[j][0], out[j][2]
+            start, _, before, _, link = out[j]
             del out[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in out]
+            j = link
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in out]
 
 
 def karlin_lambda(values: list[float], shares: list[float]) -> float:
@@ -102,21 +124,33 @@ class Scorer:
         self.known[w] = best = max(found, default=0.0)
         return best
 
-    def evidence(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float, float]]]:
-        """(evidence, words, passages): passages as (start word, end word, score, expected number)."""
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, float]], list[tuple[int, int, float]]]:
+        """(words, words that score above zero, maximal segments)."""
         found = tokens(text) if text else []
         known, word = self.known, self.word
         hits = [(i, s) for i, w in enumerate(found) if (s := known[w] if w in known else word(w))]
-        if not hits:
-            return 0.0, len(found), []
-        m = self.model
-        segments = [(a, b, s, m.k * len(found) * math.exp(-m.lam * s)) for a, b, s in maximal_segments(hits, len(found), m.other)]
-        best = min(e for *_, e in segments)
-        return max(0.0, -math.log10(max(best, 1e-300))), len(found), [x for x in segments if x[3] <= m.e_max]
+        return len(found), hits, maximal_segments(hits, self.model.other) if hits else []
 
-
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, z_min: float = 3.0, prior: float = 0.5, drift: float = 0.5, e_max: float = 0.01) -> Model:
+    def evidence(self, text: str | None) -> tuple[float | None, int, list[tuple[int, int, float, float]]]:
+        """(evidence, words, passages): evidence is None without segments; passages are (start word, end word, score,
+        expected number)."""
+        m = self.model
+        n, _, segments = self.segments(text)
+        if not segments:
+            return None, n, []
+        total, best = 0.0, 0.0
+        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True)[:MOST], 1):
+            total += m.lam * s - math.log(m.k * n)
+            if total > r:
+                log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
+                best = max(best, -log_p / math.log(10) - r * math.log10(2))
+        passages = [(a, b, s, m.k * n * math.exp(-m.lam * s)) for a, b, s in segments]
+        return best, n, [x for x in passages if x[3] <= m.e_max]
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, z_min: float = 3.0, least: float = 1.0, prior: float = 0.1, drift: float = 0.5, e_max: float = 0.01) -> Model:
     """Learn from labelled rows that are not held out."""
+    small_batches(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     n = known.count()
@@ -124,7 +158,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return Model()
     share = min(1.0, sample_rows / n)
     known = known.where((F.xxhash64("id", F.lit("toxicity")) % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000))
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").select("text", "label")
+    # At most about `sample_rows` ids, so texts need not move; the sample is read three times.
+    rows = checkpoint(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("feature", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
@@ -138,39 +173,39 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             both = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_pydict({"feature": both, "n0": [seen[0][x] for x in both], "n1": [seen[1][x] for x in both]}, schema=schema)
 
-    counts = rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.where((F.col("n1") >= 3) | F.col("feature").startswith("#")).where((F.col("n1") > F.col("n0")) | F.col("feature").startswith("#"))
-    table = {r["feature"]: (r["n0"], r["n1"]) for r in counts.collect()}
-    w0, w1 = table.pop("#words", (0, 0))
-    d0, d1 = table.pop("#docs", (0, 0))
+    counts = checkpoint(rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 >= 3 OR feature LIKE '#%'"))
+    totals = {r["feature"]: (r["n0"], r["n1"]) for r in counts.where("feature LIKE '#%'").collect()}
+    w0, w1 = totals.get("#words", (0, 0))
+    d0, d1 = totals.get("#docs", (0, 0))
     if not d0 or not d1:
         rate = d1 / max(1, d0 + d1)
-        return Model(intercept=math.log(max(rate, 1e-12) / max(1 - rate, 1e-12)))
+        return Model(intercept=math.log(max(rate, 1e-12) / max(1 - rate, 1e-12)), base=rate)
     signals = {}
-    for x, (n0, n1) in table.items():
-        a1, a0 = prior + n1, prior + n0
-        odds = math.log(a1 / (w1 + prior - n1)) - math.log(a0 / (w0 + prior - n0))
-        if odds / math.sqrt(1 / a1 + 1 / a0) >= z_min and n1 / d1 > 10 * n0 / d0:
+    likelier = counts.where(F.col("feature").like("#%") == F.lit(False)).where(F.col("n1") * F.lit(max(1, w0)) > F.col("n0") * F.lit(w1))
+    for x, n0, n1 in likelier.toLocalIterator():  # features of a sample of bounded size
+        more = prior * (w0 + w1)
+        a = prior * (n0 + n1)
+        odds = math.log((n1 + a) / (w1 + more - n1 - a)) - math.log((n0 + a) / (w0 + more - n0 - a))
+        if odds >= least and odds / math.sqrt(1 / (n1 + a) + 1 / (n0 + a)) >= z_min:
             signals[x] = odds
     model = Model(signals=signals, other=-drift, e_max=e_max)
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, seen, total = Scorer(model), Counter(), 0
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of words ("word") and segments ("segment") of documents that are not toxic, with their numbers."""
+        scorer, seen = Scorer(model), Counter()
         for batch in batches:
             for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not label:
-                    found = tokens(text or "")
-                    total += len(found)
-                    seen.update(round(s, 3) for w in found if (s := scorer.known[w] if w in scorer.known else scorer.word(w)))
-        seen[0.0] += total
-        yield pa.RecordBatch.from_pydict({"score": list(seen.keys()), "n": list(seen.values())}, schema=pa.schema([("score", pa.float64()), ("n", pa.int64())]))
-
-    spread = {r["score"]: r["n"] for r in rows.mapInArrow(hits, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
-    total = spread.pop(0.0, 0) + 1
-    strongest = max(signals.values(), default=1.0)
-    spread[strongest] = spread.get(strongest, 0) + prior
-    good = sum(spread.values()) / total
-    model.lam = karlin_lambda([*spread, model.other], [*(n / total for n in spread.values()), max(0.0, 1 - good)])
+                    n, hits, segments = scorer.segments(text)
+                    seen["word", 0.0] += n
+                    seen.update(("word", round(s, 3)) for _, s in hits)
+                    seen.update(("segment", round(s, 3)) for *_, s in segments)
+        yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in seen], "score": [s for _, s in seen], "n": list(seen.values())}, schema=pa.schema([("kind", pa.string()), ("score", pa.float64()), ("n", pa.int64())]))
+
+    spread: dict[str, dict[float, float]] = {"word": {}, "segment": {}}
+    for r in rows.mapInArrow(chance, "kind string, score double, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).collect():
+        spread[r["kind"]][r["score"]] = r["n"]
+    model.lam, model.k = calibrated(spread["word"], spread["segment"], model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -179,10 +214,33 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_pydict({"x": x, "y": batch.column(1).to_pylist()}, schema=pa.schema([("x", pa.float64()), ("y", pa.int32())]))
 
     pairs = rows.mapInArrow(evidence, "x double, y int").toPandas()
-    model.slope, model.intercept = _logistic(np.minimum(pairs["x"].to_numpy(float), 12.0), pairs["y"].to_numpy(float))
+    x, y = pairs["x"].to_numpy(float), pairs["y"].to_numpy(float)
+    some = ~np.isnan(x)
+    model.base = float((y[~some].sum() + 0.5) / ((~some).sum() + 1))
+    if some.any():
+        model.slope, model.intercept = _logistic(np.minimum(x[some], CEILING), y[some])
     return model
 
 
+def calibrated(words: dict[float, float], segments: dict[float, float], model: Model) -> tuple[float, float]:
+    """Lambda and K from the numbers of words (0.0: all words) and of maximal segments by score, in texts without toxic
+    passages. One word more has the strongest signal, by a tenth, so that there is a lambda where no word scores."""
+    hits = {s: n for s, n in words.items() if s > 0}
+    total = words.get(0.0, 0) + 1
+    strongest = max(model.signals.values(), default=1.0)
+    hits[strongest] = hits.get(strongest, 0) + 0.1
+    lam = karlin_lambda([*hits, model.other], [*(n / total for n in hits.values()), max(0.0, 1 - sum(hits.values()) / total)])
+    ranked = sorted(segments.items())
+    half, reached, least = sum(segments.values()) / 2, 0.0, strongest
+    for s, n in ranked:
+        reached += n
+        if reached >= half:
+            least = s
+            break
+    above = sum(n for s, n in ranked if s >= least)
+    return lam, (above + 0.5) * math.exp(min(700.0, lam * least)) / total
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope (not below 0) and intercept by damped Newton steps."""
     design, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
@@ -198,6 +256,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's probability, evidence, word count and toxic passages."""
+    small_batches(documents.sparkSession)
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64()), ("n_words", pa.int64()), ("passages", pa.list_(passage))])
 
@@ -207,8 +266,8 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             out: dict[str, list] = {"id": batch.column(0).to_pylist(), "score": [], "evidence": [], "n_words": [], "passages": []}
             for text in batch.column(1).to_pylist():
                 x, n, found = scorer.evidence(text)
-                out["score"].append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * min(x, 12.0) + model.intercept)))))
-                out["evidence"].append(x)
+                out["score"].append(model.probability(x))
+                out["evidence"].append(x or 0.0)
                 out["n_words"].append(n)
                 out["passages"].append([{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in found])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
