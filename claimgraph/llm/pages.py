@@ -6,10 +6,12 @@ of its characters in links, its length. Sum-product messages pass from the leave
 node's marginal. Potentials are counted, with add-one smoothing, from labelled pages that `labelled_pages` composes by
 rule from many layouts. Text of nodes that are likelier content than not becomes the main text.
 
-What is never shown or never prose (comments, head, script, style, form controls) is no part of the tree. Character references are decoded,
-white space inside a block becomes one space, blocks are trimmed and joined by a line feed in page order; empty ones
-vanish. Defined results: null or empty html, or a page without content, gives empty text; unclosed and stray tags are
-closed as browsers do or ignored; an unclosed comment or script runs to the end. Pages are independent of each other.
+What is never prose (comments, head, script, style, form controls) is no part of the tree. Character references are
+decoded, white space inside a block (a line break counts as such) becomes one space, blocks are trimmed and joined by a line
+feed in page order; empty ones vanish. Attributes are told by their names: what a value says of hidden things drops nothing. Defined
+results: null or empty html, or a page without content, gives empty text; unclosed and stray tags are closed as
+browsers do or ignored; an unclosed tag, comment or script runs to the end; a page costs time in proportion to its length.
+Pages are independent of each other: repeated rows give repeated results, other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +48,9 @@ KEYWORDS = {
     "main": "article content main post entry story body text prose",
 }
 _KEYWORD = {w: kind for kind, ws in KEYWORDS.items() for w in ws.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A tag: its attributes' values may be quoted and then hold anything; a quote that nothing closes is a character like others.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>=\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -67,31 +70,101 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _kinds(attributes: str) -> tuple[frozenset[str], bool]:
-    """Kinds named by class, id and role; whether the element is hidden."""
-    found, hidden = set(), False
+def _kinds(attributes: str) -> frozenset[str]:
+    """Kinds named by the values of class, id and role; the first attribute of a name counts."""
+    found, seen = set(), set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden":
-            hidden = True
-        elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
+        name = m[1].lower()
+        if name in ("class", "id", "role") and name not in seen:
+            seen.add(name)
+            found.update(_KEYWORD[w] for x in _SPLIT.split(m[2] or m[3] or m[4] or "") if (w := x.lower()) in _KEYWORD)
+    return frozenset(found)
+
+
+class _Open:
+    """Open elements, with the places of each tag and of blocks, so that none of the questions asked of them walks the
+    stack: a page costs time in proportion to its length, however it nests."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("#root", 0)]  # the element and the block node it belongs to
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of this tag, 0 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else 0
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+        return tag
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag or text, attributes) of "text", "raw" text, "start", "void" (a start tag that closes itself) and "end". What
+    nothing closes (a tag, a comment, a script) runs to the end of the page."""
+    at, n = 0, len(text)
+    while at < n:
+        cut = text.find("<", at)
+        if cut < 0:
+            yield "text", text[at:], ""
+            return
+        if cut > at:
+            yield "text", text[at:cut], ""
+        after = text[cut + 1 : cut + 2]
+        if after in ("!", "?") or after == "/" and not text[cut + 2 : cut + 3].isalpha():
+            opener, closer = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if text.startswith(o, cut)), ("<", ">"))
+            end = text.find(closer, cut + len(opener))
+            if opener == "<![CDATA[":
+                yield "raw", text[cut + 9 : n if end < 0 else end], ""
+            if end < 0:
+                return
+            at = end + len(closer)
+        elif after == "/" or after.isascii() and after.isalpha():
+            m = _TAG.match(text, cut)
+            if m is None:
+                return
+            tag, at = m[2].lower(), m.end()
+            if m[1]:
+                yield "end", tag, ""
+            else:
+                yield ("void" if m[3].endswith("/") or tag in VOID else "start"), tag, m[3]
+                if tag in RAW:
+                    close = _close(tag).search(text, at)
+                    if close is None:
+                        return
+                    at = close.end()
         else:
-            found.update(_KEYWORD[w] for x in _SPLIT.split(value) if (w := x.lower()) in _KEYWORD)
-    return frozenset(found), hidden
+            yield "text", "<", ""
+            at = cut + 1
+
+
+@cache
+def _close(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)
 
 
 def parse(source: str | None) -> Page:
     """The tree of block elements and, in page order, the blocks of text with the node that owns them."""
-    page = Page(nodes=[Node("#root", -1)])
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block node each belongs to
+    page, open_ = Page(nodes=[Node("#root", -1)]), _Open()
     pieces: list[str] = []
     owner, links, hidden = 0, 0, 0
-    text = source or ""
 
     def flush() -> None:
         if pieces:
-            joined = " ".join(html_lib.unescape("".join(pieces)).split())
+            joined = " ".join("".join(pieces).split())
             pieces.clear()
             if joined:
                 page.nodes[owner].chars += len(joined)
@@ -99,85 +172,56 @@ def parse(source: str | None) -> Page:
 
     def pop_to(index: int) -> None:
         nonlocal hidden, links, owner
-        while len(stack) > index:
-            tag, node = stack.pop()
-            hidden -= tag in HIDDEN or tag == "#hidden"
+        while len(open_.stack) > index:
+            tag = open_.pop()
+            hidden -= tag in HIDDEN
             links -= tag == "a"
-            if tag in BLOCK or tag == "#hidden":
+            if tag in BLOCK:
                 flush()
-                owner = stack[-1][1]
-
-    at, n = 0, len(text)
-    while at < n:
-        m = _TOKEN.search(text, at)
-        end = m.start() if m else n
-        if end > at and not hidden:
-            piece = text[at:end]
-            pieces.append(piece)
-            if links:
-                page.nodes[owner].link_chars += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                pieces.append(m[0][9:-3])
+                owner = open_.stack[-1][1]
+
+    for kind, tag, attributes in _tokens(source or ""):
+        if kind in ("text", "raw"):
+            if not hidden:
+                # References are decoded in each piece of text, so that markup between two pieces joins no reference.
+                pieces.append(html_lib.unescape(tag) if kind == "text" and "&" in tag else tag)
+                if links:
+                    page.nodes[owner].link_chars += len(tag)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag or stack[i][0] == "#hidden" and tag in BLOCK and page.nodes[stack[i][1]].tag == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
-            else:
-                if tag == "p":
-                    flush()
+        if kind == "end":
+            at = open_.last(tag)
+            if at and (tag in BLOCK or at > open_.last_block()):
+                pop_to(at)
+            elif tag == "p":
+                flush()
+            elif tag == "br" and not hidden:
+                pieces.append(" ")
+            continue
+        if tag in RAW:
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif not hidden:
+            elif tag == "br" and not hidden:
                 pieces.append(" ")
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-            at = close.end() if close else n
-            if not hidden and tag not in ("textarea", "title"):
-                pieces.append("")
-            continue
-        if tag == "body" or tag in BLOCK and tag not in ("html",):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "head":
-                    pop_to(i)
-                    break
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if tag != "html" and (at := open_.last("head")):
+                pop_to(at)
+            if (at := open_.last_block()) and open_.stack[at][0] == "p":
+                pop_to(at)
         if tag in IMPLIED:
             closes, until = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in closes:
-                    pop_to(i)
-                    break
-        if m[3].endswith("/") and tag not in BLOCK:
-            continue
-        kinds, gone = _kinds(m[3]) if m[3] and tag in BLOCK else (frozenset(), False)
+            at = max(map(open_.last, closes))
+            if at > max(map(open_.last, until)):
+                pop_to(at)
         if tag in BLOCK:
             flush()
-            page.nodes.append(Node(tag, stack[-1][1], kinds))
+            page.nodes.append(Node(tag, open_.stack[-1][1], _kinds(attributes) if attributes else frozenset()))
             owner = len(page.nodes) - 1
-            stack.append(("#hidden" if gone else tag, owner))
-            hidden += gone
-        else:
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, owner)
+        elif kind == "start":
+            open_.push(tag, open_.stack[-1][1])
             hidden += tag in HIDDEN
             links += tag == "a"
     flush()
