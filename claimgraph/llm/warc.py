@@ -6,9 +6,12 @@ Spark's text writer and read by its text reader with the version line as the sep
 task holds more than a record. A payload that itself holds the version line is stored as chunked HTTP, the chunks
 ending inside that line, so that it separates records only.
 
-Equal payloads of at least `least` bytes are stored once, as the response of the largest page id. Defined results:
-null html is an empty payload, a null url an empty target; line breaks in a url are percent-encoded; repeated rows
-(equal id, url and html) are one capture; records without a partner give a capture with nulls in its place.
+Equal payloads of at least `least` bytes are stored once, as the response of the largest page id (and, among rows of that
+id, of the largest url, to which revisits refer). Defined results: every row of the table is a capture; record ids follow from
+the page id, the url, the payload and the number of an occurrence, so repeated rows (equal id, url and html) are told
+apart; null html is an empty payload, a null url an empty target; line breaks in a url are percent-encoded; rows without an id
+are responses; an empty table gives no records; other columns are not read; records without a partner give a capture
+with nulls in its place.
 """
 
 from __future__ import annotations
@@ -68,34 +71,48 @@ def _dechunk(body: Column) -> Column:
 
 
 def revisits(payloads: DataFrame, least: int = LEAST) -> DataFrame:
-    """(id, digest, n_bytes, refers_to) of each row whose payload a row of larger id has as well."""
-    large = payloads.where(F.col("n_bytes") >= least)
-    kept = large.groupBy("digest", "n_bytes").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    return large.join(kept, ["digest", "n_bytes"]).where("id < refers_to").select("id", "digest", "n_bytes", "refers_to").distinct()
+    """(id, digest, refers_to, target_url) of each row of (id, url, digest, n_bytes) whose payload a row of larger id has
+    as well."""
+    large = payloads.where((F.col("n_bytes") >= least) & F.col("id").isNotNull())
+    kept = large.groupBy("digest", "n_bytes").agg(F.max(F.struct("id", "url")).alias("top"), F.min("id").alias("low")).where("low < top.id")
+    return large.join(kept, ["digest", "n_bytes"]).where("id < top.id").select("id", "digest", F.col("top.id").alias("refers_to"), F.col("top.url").alias("target_url")).distinct()
+
+
+def _numbered(rows: DataFrame, slim: DataFrame) -> DataFrame:
+    """rows (id, url, html, digest) with `occurrence`, from 1 for rows that are all alike. Only repeated rows move, and those
+    as one row and its count."""
+    again = checkpoint(slim.groupBy("id", "url", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("id").alias("__id"), F.col("url").alias("__url"), F.col("digest").alias("__digest"), "copies"))
+    n = again.count()
+    if not n:
+        return rows.withColumn("occurrence", F.lit(1))
+    again = F.broadcast(again) if n <= BROADCAST_REVISITS else again
+    flagged = rows.join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("url") == F.col("__url")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__url", "__digest")
+    alike = flagged.where("copies IS NOT NULL").groupBy("id", "url", "digest").agg(F.first("html").alias("html"), F.max("copies").alias("copies"))
+    alike = alike.select("id", "url", "html", "digest", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("occurrence"))
+    return flagged.where("copies IS NULL").select("id", "url", "html", "digest", F.lit(1).alias("occurrence")).unionByName(alike)
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write three records per page below `path`."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.replace(F.replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), html.alias("html"))
-    digest, size = F.sha1(F.col("html").cast("binary")), F.octet_length("html")
-    again = checkpoint(revisits(rows.select("id", digest.alias("digest"), size.alias("n_bytes")), least))
-    again = again.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    slim = checkpoint(rows.select("id", "url", "digest", F.octet_length("html").alias("n_bytes")))
+    again = checkpoint(revisits(slim, least)).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "refers_to", "target_url")
     if again.count() <= BROADCAST_REVISITS:
         again = F.broadcast(again)
-    rows = rows.withColumn("digest", digest).join(again, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    rows = _numbered(rows, slim).join(again, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     said = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    # The id of the record that holds the payload must follow from what a revisit knows: page id and digest.
-    main_id = _urn(F.lit("main"), said, F.col("digest"))
-    earlier = F.when(F.col("refers_to").isNotNull(), _urn(F.lit("main"), F.col("refers_to").cast("string"), F.col("digest")))
+    own = (said, F.col("url"), F.col("digest"), F.col("occurrence").cast("string"))
+    main_id = _urn(F.lit("main"), *own)
+    earlier = F.when(F.col("refers_to").isNotNull(), _urn(F.lit("main"), F.col("refers_to").cast("string"), F.col("target_url"), F.col("digest"), F.lit("1")))
     kind = F.when(earlier.isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     body = F.when(earlier.isNull(), _http(F.col("html"))).otherwise(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
     profile = F.when(earlier.isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     main = _record(kind, main_id, F.col("url"), [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Profile", profile), ("WARC-Refers-To", earlier)], "application/http;msgtype=response", body, date)
     joined = [("WARC-Concurrent-To", main_id)]
-    request = _record(F.lit("request"), _urn(F.lit("request"), said, F.col("digest")), F.col("url"), joined, "application/http;msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")), date)
-    metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), said, F.col("digest")), F.col("url"), joined, "application/warc-fields", F.concat(F.lit("pageId: "), said, F.lit("\r\n")), date)
+    request = _record(F.lit("request"), _urn(F.lit("request"), *own), F.col("url"), joined, "application/http;msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")), date)
+    metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), *own), F.col("url"), joined, "application/warc-fields", F.concat(F.lit("pageId: "), said, F.lit("\r\n")), date)
     rows.select(F.explode(F.array(main, request, metadata)).alias("value")).write.text(path)
 
 
@@ -133,7 +150,7 @@ def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     names = ["type", "url", "refers_to", "digest", "complete", "found_digest", "n_bytes", *(["payload"] if with_payload else [])]
     main = measured.where(own).select("capture_id", F.struct(*names).alias("response"))
     side = measured.where(~own).groupBy("capture_id").agg(F.max(F.when(F.col("type") == "request", F.col("body"))).alias("request"), F.max(F.when(F.col("type") == "metadata", F.col("body"))).alias("metadata"))
-    return main.dropDuplicates(["capture_id"]).join(side, "capture_id", "full")
+    return main.join(side, "capture_id", "full")
 
 
 def op7(spark: SparkSession, pages: DataFrame) -> DataFrame:
