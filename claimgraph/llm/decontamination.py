@@ -81,7 +81,7 @@ def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     wanted = checkpoint(item_words(items, item_id, item_text))
     sizes = [r["g"] for r in wanted.select("g").distinct().orderBy("g").collect()]  # at most SHINGLE numbers
     if not sizes:
-        return documents.select(F.struct(*documents.columns).alias("row"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"), nothing.alias("hits"))
+        return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"), nothing.alias("hits"))
     shingles = checkpoint(item_shingles(wanted, sizes))
     vocabulary = checkpoint(shingles.select("g", "token").distinct())
     n_vocabulary = vocabulary.count()
@@ -102,7 +102,7 @@ def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     per_document = checkpoint(candidates.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item", "shift", "first", "last", "span", "words")).alias("candidates"), F.count(F.lit(1)).alias("n")))
     total = per_document.agg(F.sum("n")).first()[0] or 0
     right = per_document.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "candidates")
-    rows = documents.select(F.struct(*documents.columns).alias("row"), *key)
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *key)
     joined = rows.join(_small(right, total, BROADCAST_CANDIDATES), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
 
     def verified(words: Column, c: Column) -> Column:

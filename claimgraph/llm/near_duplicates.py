@@ -395,7 +395,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
     small = stored.select("id", "n", "s1", "s2")
     groups = small.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Only sets of several documents move; single ones are their own.
-    several = groups.where("copies > 1").select("s1", "s2", "n", "rep", "copies")
+    several = checkpoint(groups.where("copies > 1").select("s1", "s2", "n", "rep", "copies"))
+    if several.count() <= set_groups.BROADCAST_IDS:
+        several = F.broadcast(several)
     members = checkpoint(small.join(several, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
     repeated = checkpoint(small.where("n > 0").groupBy(F.col("id").alias("x")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("x"))
     n_repeated = repeated.count()

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, round trips and odd rows."""
 
 import hashlib
+import inspect
 import itertools
 import math
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,10 +66,52 @@ def test_maximal_segments_equal_brute_force():
     for _ in range(200):
         values = [rng.choice([-1.3, -1.3, 0.71 + rng.random(), 2.17 * rng.random() + 0.01]) for _ in range(rng.randint(1, 14))]
         values = [v if v > 0 else -1.3 for v in values]
-        got = toxicity.maximal_segments([(i, v) for i, v in enumerate(values) if v > 0], len(values), -1.3)
+        got = toxicity.maximal_segments([(i, v) for i, v in enumerate(values) if v > 0], -1.3)
         assert [(a, b) for a, b, _ in got] == brute_segments(values)
 
 
+def test_segment_scan_is_linear():
+    """Steps, counted by the positions that the scan looks at, grow in proportion to the hits, however these lie."""
+
+    class Counted(list):
+        looks = 0
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return super().__getitem__(k)
+
+    source = inspect.getsource(toxicity.maximal_segments).replace("= []  # start", "= Counted()  # start")
+    scope = {"Counted": Counted}
+    exec(compile("from __future__ import annotations\n" + source, "scan", "exec"), scope)
+    rng = random.Random(2)
+    for place in (lambda i: i * 9, lambda i: i * i, lambda i: i * 2 + rng.randint(0, 1), lambda i: i * 40 + rng.randint(0, 39)):
+        looks = []
+        for n in (1000, 4000):
+            Counted.looks = 0
+            hits = [(place(i), 1 + rng.random()) for i in range(n)]
+            assert scope["maximal_segments"](hits, -0.5) == toxicity.maximal_segments(hits, -0.5)
+            looks.append(Counted.looks)
+        assert looks[1] < 5 * looks[0] and looks[1] < 20 * 4000
+
+
+def test_chance_is_calibrated_on_clean_text():
+    """Segments of random words reach a score about as often as K n exp(-lambda S) says."""
+    rng = random.Random(4)
+    model = toxicity.Model(signals={"=bad": 2.0, "=vile": 3.0})
+    scorer = toxicity.Scorer(model)
+    texts = [" ".join(rng.choices(["bad", "vile", "ok"], [2, 1, 97], k=400)) for _ in range(300)]
+    words, segments = Counter(), Counter()
+    for t in texts:
+        n, hits, found = scorer.segments(t)
+        words[0.0] += n
+        words.update(s for _, s in hits)
+        segments.update(round(s, 3) for *_, s in found)
+    lam, k = toxicity.calibrated(words, segments, model)
+    assert 0.2 < lam < 5
+    for s in (2.0, 3.0, 4.5, 6.0):
+        seen, expected = sum(n for x, n in segments.items() if x >= s), k * words[0.0] * math.exp(-lam * s)
+        assert expected / 3 < seen + 1 < expected * 3 + 3
+
 def test_toxicity_is_learnt_without_held_out_rows(spark, odd, empty):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choices(["ga", "mo", "ri", "ta", "lu"], k=60)) + (" vile rotten" if i % 5 == 0 else "")) for i in range(600)]
@@ -93,6 +137,49 @@ def test_quality_keeps_every_row(odd, spark):
     assert quality.classify(odd, labels).count() == len(ODD)
 
 
+def brute_quality(rows, p, weight=0.5):
+    """Shares and scores of rows (host, path) with probabilities p, by the definitions."""
+
+    def strength(share, groups):
+        n, k = sum(n for n, _, _ in groups), len(groups)
+        if k < 2 or n <= k:
+            return 50.0
+        spread = sum(n * (s / n - centre) ** 2 for n, s, centre in groups)
+        between = (spread - (k - 1) * share * (1 - share)) / max(1e-9, n - sum(n * n for n, _, _ in groups) / n)
+        return min(1e6, max(2.0, share * (1 - share) / between - 1 if between > 0 else 1e6))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, q), x in zip(rows, p, strict=True):
+        hosts[h].append(x)
+        paths[h, q].append(x)
+    share = min(max(sum(p) / len(p), 1e-6), 1 - 1e-6)
+    kh = strength(share, [(len(v), sum(v), share) for v in hosts.values()])
+    host_share = {h: (sum(v) + kh * share) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength(share, [(len(v), sum(v), sum(hosts[h]) / len(hosts[h])) for (h, _), v in paths.items()])
+    path_share = {(h, q): (sum(v) + kp * host_share[h]) / (len(v) + kp) for (h, q), v in paths.items()}
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    return [(host_share[h], path_share[h, q], 1 / (1 + math.exp(-(logit(x) + weight * (logit(path_share[h, q]) - logit(share)))))) for (h, q), x in zip(rows, p, strict=True)]
+
+
+def test_quality_equals_brute_force(spark):
+    """Posteriors and scores of classify() against the definitions, from the probabilities that it returns."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(500):
+        source, lang = rng.choice(["a", "a", "a", "b", None, "c"]), rng.choice(["en", "de", None])
+        good = rng.random() < {"a": 0.9, "b": 0.3}.get(source, 0.6)
+        rows.append((i, " ".join(rng.choices(["word", "other", "thing", "more"] if good else ["|", "###", "BUY", "$$$"], k=rng.randint(3, 60))) if i % 50 else None, lang, source, int(good)))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:400]], "doc_id long, quality int")
+    got = sorted(quality.op3(docs, labels).collect(), key=lambda r: r.doc_id)
+    want = brute_quality([(r[3], f"{r[3] or ''}/{r[2] or ''}") for r in rows], [r.quality_p for r in got])
+    for r, (host, path, score) in zip(got, want, strict=True):
+        assert abs(r.host_share - host) < 1e-6 and abs(r.path_share - path) < 1e-6 and abs(r.quality_score - score) < 1e-6
+        assert r.quality_keep == (r.quality_score >= 0.5)
+    held = [(r.quality_keep, bool(x[4])) for r, x in zip(got, rows, strict=True) if r.held_out and x[1]]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+
+
 def test_page_marginals_on_held_out_layouts():
     model, right, total = pages.trained(), 0, 0
     for source, labels in pages.labelled_pages(60, seed=11):
@@ -129,6 +216,66 @@ def test_main_text_of_odd_pages(spark):
     assert pages.main_text(source, model) == "A & B\nOne two three\nFour five"
 
 
+# Layouts written by hand: none comes from the generator that the model learns from.
+LAYOUTS = [
+    ("""<!doctype html><html lang=en><head><title>News</title><style>p{}</style></head><body><header class="site-header"><a href="/">Daily</a><p>Your news, every day</p></header>
+<nav role="navigation"><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li></ul></nav><main><article class="post"><h1>Rivers rise after a week of rain</h1>
+<p aria-hidden="false">The river rose by two metres on Monday, and the lower town was told to leave before dark.</p><p title="hidden gem">Boats took sixty people to the school, where volunteers had made beds &amp; soup.</p></article></main>
+<aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">One story</a></li><li><a href="/2">Another story</a></li></ul></aside><footer>Copyright 2024 Daily</footer></body></html>""",
+     "Rivers rise after a week of rain\nThe river rose by two metres on Monday, and the lower town was told to leave before dark.\nBoats took sixty people to the school, where volunteers had made beds & soup."),
+    ("""<body><div id="cookie-banner" class="cookie consent">We use cookies to make this site better. <button>Accept</button></div><div class="content"><h1>How to sharpen a plane iron</h1><p>Start with a flat stone and a little water; the back of the iron comes first.</p>
+<ol><li>Hold the bevel flat on the stone and draw it towards you.</li><li>Turn it over and take the burr off.</li></ol><pre>angle = 25</pre><p>Use a super<wbr>fine stone for the last strokes.</p></div>
+<div class="comments"><div class="comment"><p>Thanks, that worked well for me and my old plane.</p></div></div><div class="newsletter"><form>Subscribe <input name=mail></form></div></body>""",
+     "How to sharpen a plane iron\nStart with a flat stone and a little water; the back of the iron comes first.\nHold the bevel flat on the stone and draw it towards you.\nTurn it over and take the burr off.\nangle = 25\nUse a superfine stone for the last strokes."),
+    ("""<html><body><table class="nav"><tr><td><a href=1>Index</a></td><td><a href=2>Links</a></td></tr></table><article><h2>Notes on moss</h2><p>Moss grows where other plants find too little light, and it needs no roots to do so.<p>It drinks through its leaves.<blockquote>A stone that rolls gathers none of it, they say.</blockquote></article>
+<div class="ad">Buy our moss killer now</div><script>var x = "<p>no</p>";</script></body></html>""",
+     "Notes on moss\nMoss grows where other plants find too little light, and it needs no roots to do so.\nIt drinks through its leaves.\nA stone that rolls gathers none of it, they say."),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_main_text_of_layouts_written_by_hand(k):
+    source, want = LAYOUTS[k]
+    assert pages.main_text(source, pages.trained()) == want
+
+
+def test_attributes_are_told_by_name():
+    assert pages._kinds(' title="class=nav" data-id=footer CLASS="Main-Nav" class="ad"') == {"main", "menu"}
+    page = pages.parse('<article><p title="a > b" class=x>one<img src="a">two<wbr>three &amp;lt; a < b</p><p data-x=\'">\'>four</article>')
+    assert [t for _, t in page.blocks] == ["onetwothree &lt; a < b", "four"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>", '<a ="', "<p title='", "< ", "<div><p>", "<!--", "<table><tr><td>", "<ul><li>", "<script>", "&amp", "<i><div><b></i>"])
+def test_parsing_takes_time_in_proportion(piece):
+    """Steps of the interpreter, not seconds: four times the page may take at most six times as many."""
+
+    def steps(source):
+        count = 0
+
+        def trace(frame, event, arg):
+            nonlocal count
+            count += 1
+            return trace
+
+        sys.settrace(trace)
+        try:
+            pages.parse(source)
+        finally:
+            sys.settrace(None)
+        return count
+
+    for tail in ("", "</i>" * 300, "</p>" * 300):
+        assert steps(piece * 1200 + tail * 4) < 6 * steps(piece * 300 + tail) + 2000
+
+
+def test_extract_keeps_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    rows = [(1, "u", "<article><p>One two three four five six seven.</p></article>", "x", 1)] * 2 + [(None, None, None, None, None), (3, "u", "", "", 0)]
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in pages.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, "", 0), (1, "One two three four five six seven.", 34), (1, "One two three four five six seven.", 34), (3, "", 0)]
+    assert pages.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 WARC_ROWS = [(1, "u1", "x" * 2000), (2, "u2\r\n", "x" * 2000), (3, None, None), (4, "u4", "small"), (5, "u5", "small"), (6, "u6", "a WARC/1.1\r\nWARC-Type: response\r\n\r\nb WARC/1.1\r\n" + "é" * 700), (7, "u7", "x" * 2000)]
 
 
@@ -145,6 +292,17 @@ def test_warc_round_trip(spark):
     assert WARC_ROWS[5][2] in payloads
 
 
+def test_warc_has_a_record_for_every_row(spark):
+    """Rows that are alike but for their url, repeated rows, rows without an id, also as targets of revisits."""
+    big = "y" * 1500
+    rows = [(1, "u1", "small"), (1, "u2", "small"), (None, "u", "n"), (None, "u", "n"), (5, "u", big), (9, "a", big), (9, "b", big), (9, "b", big), (None, "u", big), (5, "u", big)]
+    got = warc.op7(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = sorted((k or 0, len(h), "revisit" if k == 5 else "response", 9 if k == 5 else 0) for k, _, h in rows)
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == want
+    assert all(r.verified and r.payload_digest for r in got)
+    assert warc.op7(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def brute_secrets(text):
     found = []
     for kind, pattern in (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")):
