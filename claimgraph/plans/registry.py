@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.operators import admission, ranking, structural, verification
-from claimgraph.plans import sql_plans
+from claimgraph.plans import sample_expected, sample_queries, sql_plans, table_queries
 from claimgraph.sources.tables import run_sql, table
 
 QUERY = "the thing of and that with er"
@@ -80,7 +80,7 @@ SELECT doc_id, round(sum(part), 9) AS score FROM (SELECT doc_id, 1.0 / (60 + ran
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plans = {name: partial(_plan, name) for name in sql_plans.PLANS}
-    return {name: f for name, (f, _) in OWN.items()} | plans
+    return {name: f for name, (f, _) in (OWN | table_queries.QUERIES).items()} | plans | sample_queries.QUERIES
 
 
 def _plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,5 @@ def _plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in OWN.items() if sql} | {name: sql_plans.oracle_sql(name) for name in sql_plans.PLANS}
+    own = {name: sql for name, (_, sql) in (OWN | table_queries.QUERIES).items() if sql}
+    return own | {name: sql_plans.oracle_sql(name) for name in sql_plans.PLANS} | {name: sample_expected.sql(name) for name in sample_expected.EXPECTED}

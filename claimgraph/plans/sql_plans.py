@@ -35,12 +35,6 @@ SELECT node, predicate, count(*) AS degree FROM b GROUP BY node, predicate"""),
     "neighbourhood_two_hop": (("orders", "lineitem", "customer"), f"""WITH e AS ({EDGES}), u AS (SELECT subject AS a, object AS b FROM e UNION ALL SELECT object, subject FROM e),
 h1 AS (SELECT DISTINCT b AS node FROM u WHERE a = 'customer:1'), h2 AS (SELECT DISTINCT u.b AS node FROM u JOIN h1 ON u.a = h1.node)
 SELECT node, min(depth) AS depth FROM (SELECT node, 1 AS depth FROM h1 UNION ALL SELECT node, 2 FROM h2) x WHERE node <> 'customer:1' GROUP BY node"""),
-    "expand_ranked": (("orders", "lineitem", "customer"), f"""WITH e AS ({EDGES}), u AS (SELECT subject AS a, object AS b FROM e UNION ALL SELECT object, subject FROM e),
-h1 AS (SELECT DISTINCT b AS node FROM u WHERE a = 'customer:1'), h2 AS (SELECT DISTINCT u.b AS node FROM u JOIN h1 ON u.a = h1.node),
-r AS (SELECT node, min(depth) AS depth FROM (SELECT node, 1 AS depth FROM h1 UNION ALL SELECT node, 2 FROM h2) x WHERE node <> 'customer:1' GROUP BY node),
-i AS (SELECT object AS node, count(*) AS indeg FROM e GROUP BY object)
-SELECT r.node, r.depth, round(power(0.6, r.depth) / (1 + ln(1 + coalesce(i.indeg, 0))), 6) AS score, (SELECT count(*) FROM r) AS total_reachable
-FROM r LEFT JOIN i ON r.node = i.node ORDER BY score DESC, r.node LIMIT 20"""),
     "invariant_audit": (("orders", "lineitem", "customer", "part"), """SELECT 'line without order' AS rule, count(*) AS violations FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT 'order without customer', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
 UNION ALL SELECT 'line without part', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
@@ -69,8 +63,6 @@ FROM a LEFT JOIN c ON c.l_partkey = a.p_partkey AND c.l_suppkey = a.s_suppkey LE
     "retrieval_metrics": (("labels", "documents"), """WITH r AS (SELECT d.source, l.quality, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 f AS (SELECT source, min(CASE WHEN quality = 0 THEN rank END) AS first_hit, sum(CASE WHEN quality = 0 AND rank <= 10 THEN 1 ELSE 0 END) AS hits10, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS relevant FROM r GROUP BY source)
 SELECT source, coalesce(round(CAST(1 AS DOUBLE) / first_hit, 6), 0) AS reciprocal_rank, CASE WHEN relevant > 0 THEN round(CAST(hits10 AS DOUBLE) / relevant, 6) END AS recall_10 FROM f"""),
-    "evidence_bridge": (("benchmark", "documents"), """WITH e AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
-SELECT item_id, count(*) AS evidence, min(doc_id) AS first_doc FROM e GROUP BY item_id"""),
     "snapshot_digest": (("nation",), "SELECT sha256({joined}(list_sorted, chr(10))) AS digest, n FROM (SELECT {sorted}({listed}(concat_ws(chr(31), CAST(n_nationkey AS {text}), n_name, CAST(n_regionkey AS {text})))) AS list_sorted, count(*) AS n FROM nation) x"),
 }
 

@@ -1 +1 @@
-"""Incremental ingestion with Structured Streaming."""
+"""Ingestion of files as they arrive."""
