@@ -112,6 +112,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         one.add_argument("--version", type=int)
         if name == "diagnostics":
             one.add_argument("--code")
+    one = sub.add_parser("serve", help="answer over HTTP")
+    one.add_argument("--store", required=True)
+    one.add_argument("--root", required=True)
+    one.add_argument("--port", type=int, default=8765)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("claimgraph").getOrCreate()
     store = Snapshots(spark, args.store)
@@ -121,6 +125,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for path in report["absent"]:
             print(f"COVERAGE: {path} was walked but has no artifact row", file=sys.stderr)
         return 1 if report["absent"] else 0
+    if args.command == "serve":
+        from claimgraph import web  # it builds on this module
+
+        web.serve(web.Service(spark, store, args.root), port=args.port).serve_forever()
     graph = store.read(args.version)
     if graph is None:
         print("nothing has been committed to this store", file=sys.stderr)

@@ -3,17 +3,21 @@
 import io
 import json
 import os
+import threading
+import urllib.error
+import urllib.request
 import zipfile
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from claimgraph import cli
+from claimgraph import cli, web
 from claimgraph.compiler import corpus, documents, python_source, structured
 from claimgraph.compiler.compile import compile_files
 from claimgraph.operators import answers, asking, evidence, graph_reads, measures, rankers, support, text, values, vectors
 from claimgraph.plans import sample_queries
+from claimgraph.sources import uploads
 from claimgraph.store import audit, changes
 from claimgraph.store.snapshots import RuleBroken, Snapshots
 from claimgraph.streaming import ingest
@@ -290,3 +294,69 @@ def test_vectors_in_blocks(spark):
 def test_reading_is_linear_in_depth():
     nested = "".join(f"{' ' * i}def f{i}():\n" for i in range(60)) + " " * 60 + "pass\n"
     assert sum(r["record"] == "symbol" for r in python_source.read_module(nested.encode(), "m")) == 61
+
+
+def archive(members, link=None):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+        if link:
+            info = zipfile.ZipInfo(link)
+            info.external_attr = 0o120777 << 16
+            z.writestr(info, "/etc/passwd")
+    return out.getvalue()
+
+
+def test_uploads(tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    monkeypatch.setattr(uploads, "MAX_MEMBER", 200)
+    got = uploads.unpack(archive({"a/b.py": "x = 1", "notes.md": "hi", "../up.py": "", "/abs.py": "", "C:/d.py": "", "big.py": "y" * 300}, "link.py"), root)
+    assert {r.path: r.status for r in got} == {"a/b.py": "ACCEPTED", "notes.md": "UNSUPPORTED", "../up.py": "REJECTED", "/abs.py": "REJECTED", "C:/d.py": "REJECTED", "big.py": "REJECTED", "link.py": "REJECTED"}
+    assert sorted(p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file()) == ["a/b.py", "notes.md"]
+    assert uploads.take_file("../../evil.py", b"x", root).path == "evil.py" and (root / "evil.py").exists()
+    os.symlink(tmp_path, root / "out")
+    with pytest.raises(uploads.Refused):
+        uploads.destination(root, "out/x.py")
+    for limit, value in (("MAX_FILES", 1), ("MAX_TOTAL", 3), ("MAX_ARCHIVE", 10)):
+        with monkeypatch.context() as m:
+            m.setattr(uploads, limit, value)
+            with pytest.raises(uploads.Refused):
+                uploads.unpack(archive({"a.py": "x = 1", "b.py": "y = 2"}), root)
+    with pytest.raises(uploads.Refused):
+        uploads.unpack(b"no archive", root)
+
+
+def test_http(spark, tmp_path):
+    root = tmp_path / "root"
+    service = web.Service(spark, Snapshots(spark, str(tmp_path / "store")), str(root))
+    server = web.serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}/api/"
+
+    def call(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data=body), timeout=300) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("stats")[0] == 404
+        code, said = call("upload?name=code.zip", archive({"m.py": "class Abc:\n    LIMIT = 3\n\n\ndef f():\n    return Abc()\n", "../x.py": ""}))
+        assert code == 200 and [f["status"] for f in said["files"]] == ["ACCEPTED", "REJECTED"] and said["commit"]["version"] == 1
+        assert call("upload?name=bad.zip", b"nothing")[0] == 400
+        found = call("search?q=abc")[1]
+        assert found[0]["qname"] == "m.Abc"
+        node = call(f"node/{found[0]['symbol_id']}")[1]
+        assert node["neighbours"] == {"CALLS": 1, "CONTAINS": 2}
+        near = call(f"neighbourhood/{found[0]['symbol_id']}?hops=1&predicates=CALLS")[1]
+        assert [n["qname"] for n in near["nodes"]] == ["m.Abc", "m.f"]
+        edge = call(f"edge/{near['edges'][0]['claim_id']}")[1]
+        assert edge["object"] == "m.Abc" and call(f"evidence/{edge['evidence'][0]['evidence_id']}")[1]["quote"] == "Abc()"
+        assert call("decide", b'{"question": "what is the limit of Abc"}')[1]["outcome"] == "EXPOSE"
+        assert call("ask", b'{"question": "what is Abc.LIMIT"}')[1]["spans"][0]["quote"] == "LIMIT = 3"
+        assert [call(p, b)[0] for p, b in (("node/none", None), ("nothing", None), ("ask", b"{}"), ("ask", b"["), ("nothing", b"{}"))] == [404, 404, 400, 400, 404]
+    finally:
+        server.shutdown()
+        server.server_close()
