@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.compiler.compile import Graph
 from claimgraph.functions.shared import written
+from claimgraph.functions.words import between
 from claimgraph.operators import text
 from claimgraph.operators.graph_reads import EXPANDED, PER_HOP
 from claimgraph.operators.ranking import K1, RRF_K, B
@@ -108,7 +109,7 @@ def stems(words: Column) -> Column:
 
 def index_words(body: Column) -> Column:
     """Stemmed runs of letters and digits, lower-cased, as the full-text index has them."""
-    return stems(F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return stems(between(F.lower(F.coalesce(body, F.lit(""))), r"^\p{L}\p{N}"))
 
 
 # --- rankers ---------------------------------------------------------------------------------------------------------------
@@ -135,7 +136,7 @@ def exact(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     it, else 1; the first identifier that is found counts."""
     named = F.filter(F.regexp_extract_all("question", F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0)), lambda t: F.rlike(t, F.lit("[A-Z]")) | F.contains(t, F.lit(".")))
     names = written(queries.select("qid", F.posexplode(named).alias("at", "name")).withColumn("bare", F.substring_index("name", ".", -1)).where("bare <> ''"), "names")
-    words = chunks.select("chunk_id", "symbol", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(?U)\w+"), F.lit(0)))).alias("bare"))
+    words = chunks.select("chunk_id", "symbol", F.explode(F.array_distinct(between(F.coalesce("body", F.lit("")), r"^\p{L}\p{N}\p{M}_"))).alias("bare"))
     found = words.join(F.broadcast(names), "bare")
     first = found.groupBy("qid", "chunk_id").agg(F.min_by(F.struct("bare", "symbol"), "at").alias("f"))
     score = F.when(F.col("f.symbol").endswith(F.col("f.bare")), 2.0).otherwise(1.0)

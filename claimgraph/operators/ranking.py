@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.words import between
+
 K1, B = 1.2, 0.75
 RRF_K = 60
-TOKEN = r"[a-z0-9_]+"
+NOT_TOKEN = r"\x00-\x2F\x3A-\x5E\x60\x7B-\x{10FFFF}"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return between(F.lower(text), NOT_TOKEN)
 
 
 def bm25(documents: DataFrame, query: str, k: int = 20) -> DataFrame:
