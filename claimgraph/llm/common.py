@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: words of the mixing and near-duplicate contracts are maximal runs of other bytes than these.
-SPACE_BYTES = r"\x20\x09-\x0D"
-#: Fixed value: words of the license and benchmark contracts, after A-Z are lower-cased.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from claimgraph.functions.shared import shared_path, written  # noqa: F401
+
+# What separates words in the mixing and near-duplicate contracts, and in the license and benchmark
+# contracts after A-Z are lower-cased.
+SPACE = r"\x20\x09-\x0D"
+NOT_ALNUM = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,28 +27,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, a temporary one will do if driver
-    and executors are one process; on a cluster it must be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="claimgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, so that a lost executor costs no
     recomputation of what came before, and leaves the planner with the table's true size."""
-    path = shared_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

@@ -8,37 +8,33 @@ last (length bound) go; the others are verified word for word, over all windows
 
 The corpus is cut into shingles once; those that the benchmark knows are written down, counted and joined. The
 benchmark's shingles and windows are broadcast when they are at most `BROADCAST_WORDS`, else joined by key; so are
-candidates per document. Defined results: null or empty text has no words, windows or hits; an item without words has
+candidates per document, when they and their items' words are at most `BROADCAST_BYTES`. Defined results: null or empty text has no words, windows or hits; an item without words has
 no window; items of one id are looked for one by one, and one without an id hits but has no name to be counted; repeated rows give repeated results; documents are told apart by id and a hash of their text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import ALNUM_WORD, ascii_lower, checkpoint
+from claimgraph.functions.words import between, bound
+from claimgraph.llm.common import NOT_ALNUM, ascii_lower, checkpoint
 
 WINDOW = 10
 SHINGLE = 3
 #: Rows (of at most some hundred bytes) up to which a side is broadcast.
 BROADCAST_WORDS = 200_000
-BROADCAST_CANDIDATES = 100_000
+#: Bytes, roughly, of the candidates of all documents with their items' words up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
     """Maximal runs of ASCII letters and digits and of other characters than ASCII, with A-Z lower-cased. Plain ASCII
     texts take the fast way; lower() would change other letters as well."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.regexp_extract_all(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text)), F.lit(ALNUM_WORD), F.lit(0))
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used in lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return between(F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text)), NOT_ALNUM)
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
@@ -99,17 +95,18 @@ def hits(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     found = found.where(first <= last).select("__id", "__hash", "key", shift.alias("shift"), first.alias("first"), last.alias("last"), span.alias("span"))
     candidates = found.groupBy("__id", "__hash", "key", "shift", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     candidates = candidates.join(_small(wanted.select("key", "item", "words"), wanted.count(), BROADCAST_WORDS // 10), "key")
-    per_document = checkpoint(candidates.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item", "shift", "first", "last", "span", "words")).alias("candidates"), F.count(F.lit(1)).alias("n")))
-    total = per_document.agg(F.sum("n")).first()[0] or 0
+    weight = 64 + F.coalesce(F.octet_length("item"), F.lit(0)) + F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + 16 + F.octet_length(w))
+    per_document = checkpoint(candidates.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item", "shift", "first", "last", "span", "words")).alias("candidates"), F.sum(weight).alias("bytes")))
+    total = per_document.agg(F.sum("bytes")).first()[0] or 0
     right = per_document.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "candidates")
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *key)
-    joined = rows.join(_small(right, total, BROADCAST_CANDIDATES), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
+    joined = rows.join(_small(right, total, BROADCAST_BYTES), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left")
 
     def verified(words: Column, c: Column) -> Column:
         starts = F.filter(F.sequence(c["first"], c["last"]), lambda j: F.slice(words, c["shift"] + j + 1, c["span"]) == F.slice(c["words"], j + 1, c["span"]))
         return F.transform(starts, lambda j: F.struct(c["item"].alias("item"), (c["shift"] + j).alias("start"), c["span"].alias("words")))
 
-    proof = bound(words_of(F.col(f"row.{text_col}")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.coalesce(F.flatten(F.transform("candidates", lambda c: verified(w, c))), nothing).alias("hits")))
+    proof = bound(words_of(F.col(f"row.`{text_col}`")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.coalesce(F.flatten(F.transform("candidates", lambda c: verified(w, c))), nothing).alias("hits")))
     return joined.select("row", proof.alias("p")).select("row", F.col("p.n").alias("n_words"), F.col("p.hits").alias("hits"))
 
 
