@@ -21,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import checkpoint
+from claimgraph.functions.words import count_between
+from claimgraph.llm.common import SPACE, checkpoint
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed value: the weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -104,7 +104,7 @@ def mix(df: DataFrame, source: Column | None = None, text: Column | None = None,
     source = F.col("source") if source is None else source
     text = F.col("text") if text is None else text
     key = F.xxhash64(F.col("doc_id"), text) if key is None else key
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), source.cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), source.cast("string").alias("source"), count_between(text.cast("string"), SPACE).alias("size"), key.alias("key"))
     bins = rows.groupBy("source", F.when(F.col("size") > 0, _bin(F.col("size"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     bins = bins.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n", "words")))).alias("bins"))
     bins = checkpoint(bins)
