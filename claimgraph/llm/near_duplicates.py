@@ -414,7 +414,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", regio
         inside = checkpoint(reps.join(labels, "id").select(F.col("label").alias("g"), "id", "n", F.lit(True).alias("home"), "copies"))
         labels = labels.join(set_groups.counts(inside, once, block, part), "id", "left")
         more = [F.when(F.col("n") > 0, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links")]
-    joined = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    # Written first, so that a set of many copies can be split, or the labels broadcast.
+    labels = checkpoint(labels.withColumnRenamed("id", "rep"))
+    joined = members.join(F.broadcast(labels) if labels.count() <= set_groups.BROADCAST_IDS else labels, "rep", "left")
     named = lambda c: F.when(c < NAMELESS, c)
     component = F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id"))
     return joined.select(named(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), named(F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))).alias("copy_of"), *more, F.col("id").alias("key"), component.alias("component_key"))

@@ -172,7 +172,8 @@ def _dealt(groups: DataFrame, texts: DataFrame, block: int, part: tuple[int, int
     whole = _parts(F.col("homes") + F.col("guests"), F.col("home_n") + F.col("guest_n"), block, part) == 1
     guest_parts = F.when(F.col("guests") > 0, _parts(F.col("guests"), F.col("guest_n"), block, part)).otherwise(0)
     sizes = checkpoint(sizes.select("g", whole.alias("whole"), F.when(whole, 1).otherwise(_parts(F.col("homes"), F.col("home_n"), block, part)).alias("hp"), F.when(whole, 0).otherwise(guest_parts).alias("gp"), (F.col("home_n") + F.col("guest_n")).alias("all")))
-    n_bins = max(1, (sizes.where("whole").agg(F.sum("all")).first()[0] or 0) // block)
+    # Whole groups are dealt out in smaller lots than a task could hold, so that many tasks share them evenly.
+    n_bins = max(1, (sizes.where("whole").agg(F.sum("all")).first()[0] or 0) // max(1, block // 8))
     rows = groups.join(sizes.drop("all"), "g").withColumn("home", F.col("home") | F.col("whole"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
     rows = rows.withColumn("part", F.when(F.col("home"), spread(F.col("hp"))).otherwise(F.col("hp") + spread(F.col("gp"))))
