@@ -2,8 +2,9 @@
 
 Training counts, for every word and word edge (first or last three to eight characters), in how many toxic and other
 labelled documents it stands, and turns the counts into log-odds under an informative Dirichlet prior: its pseudo-counts
-follow the feature's share of all labelled documents, and weigh `prior` times as much as these. Those features whose
-log-odds are at least `least` and `z_min` standard errors above zero are the signals. A word scores as its best-supported signal, any
+follow the feature's share of all labelled documents. Those features whose log-odds are at least `least` and `z_min` standard
+errors above zero are the signals; how strict this is, one half of the training rows decides over signals learnt from the
+other. A word scores as its best-supported signal, any
 other word scores below zero. One scan, linear in the words, finds all maximal-scoring segments of a document.
 
 A segment of score S among n words is expected K n exp(-lambda S) times by chance. Both are taken from labelled documents
@@ -148,7 +149,38 @@ class Scorer:
         return best, n, [x for x in passages if x[3] <= m.e_max]
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, z_min: float = 3.0, least: float = 1.0, prior: float = 0.1, drift: float = 0.5, e_max: float = 0.01) -> Model:
+@dataclass(frozen=True)
+class Strictness:
+    """The Dirichlet prior's weight in words, at most a tenth of those there are, and the least log-odds of a signal, also in
+    standard errors."""
+
+    prior: float
+    least: float
+    z_min: float = 3.0
+
+
+#: Of these the one is taken that predicts best on the half of the training rows that its signals were not learnt from: many
+#: rows bear out strong signals enough, few rows need weaker ones too.
+SETTINGS = (Strictness(70_000, 1.0), Strictness(20_000, 2.3))
+
+
+def signals(table: list[tuple[str, int, int]], words: tuple[int, int], strict: Strictness) -> dict[str, float]:
+    """Log-odds of the features (feature, other documents, toxic documents) that are signals; words are the numbers of distinct
+    words, added over documents, of either kind."""
+    w0, w1 = words
+    prior, out = min(strict.prior, (w0 + w1) / 10), {}
+    share = prior / max(1, w0 + w1)
+    for x, n0, n1 in table:
+        if n1 < 3 or n1 * w0 <= n0 * w1:
+            continue
+        a = share * (n0 + n1)
+        odds = math.log((n1 + a) / (w1 + prior - n1 - a)) - math.log((n0 + a) / (w0 + prior - n0 - a))
+        if odds >= strict.least and odds / math.sqrt(1 / (n1 + a) + 1 / (n0 + a)) >= strict.z_min:
+            out[x] = odds
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, settings: tuple[Strictness, ...] = SETTINGS, drift: float = 0.5, e_max: float = 0.01) -> Model:
     """Learn from labelled rows that are not held out."""
     small_batches(documents.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -158,43 +190,51 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return Model()
     share = min(1.0, sample_rows / n)
     known = known.where((F.xxhash64("id", F.lit("toxicity")) % 1_000_000 + 1_000_000) % 1_000_000 < int(share * 1_000_000))
-    # At most about `sample_rows` ids, so texts need not move; the sample is read three times.
-    rows = checkpoint(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label"))
+    known = known.withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)))
+    # At most about `sample_rows` ids, so texts need not move; the sample is read several times.
+    rows = checkpoint(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label", "half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("feature", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+        names = ["a0", "a1", "b0", "b1"]
         for batch in batches:
-            seen = (Counter(), Counter())
-            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                have = set(tokens(text or ""))
-                seen[label].update({x for w in have for x in edges(w)})
-                seen[label]["#words"] += len(have)
-                seen[label]["#docs"] += 1
-            both = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_pydict({"feature": both, "n0": [seen[0][x] for x in both], "n1": [seen[1][x] for x in both]}, schema=schema)
-
-    counts = checkpoint(rows.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 >= 3 OR feature LIKE '#%'"))
-    totals = {r["feature"]: (r["n0"], r["n1"]) for r in counts.where("feature LIKE '#%'").collect()}
-    w0, w1 = totals.get("#words", (0, 0))
-    d0, d1 = totals.get("#docs", (0, 0))
+            seen = [Counter() for _ in names]
+            for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have, into = set(tokens(text or "")), seen[2 * half + label]
+                into.update({x for w in have for x in edges(w)})
+                into["#words"] += len(have)
+                into["#docs"] += 1
+            every = list(set().union(*seen))
+            yield pa.RecordBatch.from_pydict({"feature": every} | {k: [c[x] for x in every] for k, c in zip(names, seen, strict=True)}, schema=pa.schema([("feature", pa.string()), *((k, pa.int64()) for k in names)]))
+
+    counts = rows.mapInArrow(count, "feature string, a0 long, a1 long, b0 long, b1 long").groupBy("feature").agg(*(F.sum(k).alias(k) for k in ("a0", "a1", "b0", "b1")))
+    counts = checkpoint(counts.where("a1 + b1 >= 3 OR feature LIKE '#%'"))
+    totals = {r["feature"]: r for r in counts.where("feature LIKE '#%'").collect()}
+    words, docs = totals.get("#words"), totals.get("#docs")
+    d0, d1 = (docs["a0"] + docs["b0"], docs["a1"] + docs["b1"]) if docs else (0, 0)
     if not d0 or not d1:
         rate = d1 / max(1, d0 + d1)
         return Model(intercept=math.log(max(rate, 1e-12) / max(1 - rate, 1e-12)), base=rate)
-    signals = {}
-    likelier = counts.where(F.col("feature").like("#%") == F.lit(False)).where(F.col("n1") * F.lit(max(1, w0)) > F.col("n0") * F.lit(w1))
-    for x, n0, n1 in likelier.toLocalIterator():  # features of a sample of bounded size
-        more = prior * (w0 + w1)
-        a = prior * (n0 + n1)
-        odds = math.log((n1 + a) / (w1 + more - n1 - a)) - math.log((n0 + a) / (w0 + more - n0 - a))
-        if odds >= least and odds / math.sqrt(1 / (n1 + a) + 1 / (n0 + a)) >= z_min:
-            signals[x] = odds
-    model = Model(signals=signals, other=-drift, e_max=e_max)
+    w0, w1 = words["a0"] + words["b0"], words["a1"] + words["b1"]
+    likelier = counts.where("feature NOT LIKE '#%'").where((F.col("a1") + F.col("b1")) * F.lit(w0) > (F.col("a0") + F.col("b0")) * F.lit(w1))
+    table = [tuple(r) for r in likelier.toLocalIterator()]  # features of a sample of bounded size
+    chosen = settings[0]
+    if len(settings) > 1 and docs["a1"] and docs["b0"] and docs["b1"]:
+        other = rows.where("half = 1")
+        tried = [(_calibrate(Model(signals=signals([(x, a0, a1) for x, a0, a1, _, _ in table], (words["a0"], words["a1"]), s), other=-drift, e_max=e_max), other)[1], i) for i, s in enumerate(settings)]
+        chosen = settings[min(tried)[1]]
+    final = Model(signals=signals([(x, a0 + b0, a1 + b1) for x, a0, a1, b0, b1 in table], (w0, w1), chosen), other=-drift, e_max=e_max)
+    return _calibrate(final, rows)[0]
+
+
+def _calibrate(model: Model, rows: DataFrame) -> tuple[Model, float]:
+    """The model with what it takes to turn segments into probabilities, from rows (text, label), and its mean log-loss on
+    them."""
 
     def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores of words ("word") and segments ("segment") of documents that are not toxic, with their numbers."""
         scorer, seen = Scorer(model), Counter()
         for batch in batches:
-            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, label in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
                 if not label:
                     n, hits, segments = scorer.segments(text)
                     seen["word", 0.0] += n
@@ -219,7 +259,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model.base = float((y[~some].sum() + 0.5) / ((~some).sum() + 1))
     if some.any():
         model.slope, model.intercept = _logistic(np.minimum(x[some], CEILING), y[some])
-    return model
+    p = np.array([model.probability(None if math.isnan(v) else v) for v in x])
+    return model, float(-np.mean(np.log(np.maximum(1e-12, np.where(y == 1, p, 1 - p))))) if len(y) else 0.0
 
 
 def calibrated(words: dict[float, float], segments: dict[float, float], model: Model) -> tuple[float, float]:
