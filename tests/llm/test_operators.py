@@ -7,6 +7,7 @@ import math
 import random
 import re
 import sys
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -50,6 +51,30 @@ def test_media_columns(odd, empty):
     assert {r.payload_sha256 for r in rows if r.doc_id in (1, 2)} == {hashlib.sha256(bytes(64)).hexdigest()}
 
 
+def test_media_digest_equals_brute_force(spark):
+    """Every column of the contract and every reader's figure, from the bytes that store() gives."""
+    rng = random.Random(17)
+    rows = [(i, t) for i, t in enumerate([None, "", "a", "é" * 32, "x" * 63, "x" * 64, "x" * 65, "\0", "naïve\n" * 700, "".join(chr(rng.randint(32, 0x2FF)) for _ in range(60_000))])] + [(3, "é" * 32)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.id: bytes(r.media) for r in media.store(frame).collect()}
+    for r in media.op5(frame).collect():
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+        stream = held[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+        # Frames counted by walking the stream from the end of its tag, by nothing but lengths of MPEG-1 Layer III frames.
+        at, starts = 10 + (stream[6] << 21 | stream[7] << 14 | stream[8] << 7 | stream[9]), []
+        while at < len(stream):
+            assert stream[at] == 0xFF and stream[at + 1] & 0xFE == 0xFA
+            starts.append(at)
+            at += 144_000 * media.BITRATES[stream[at + 2] >> 4] // media.SAMPLE_RATES[stream[at + 2] >> 2 & 3] + (stream[at + 2] >> 1 & 1)
+        seek = hashlib.sha256(",".join(map(str, starts[1:])).encode()).hexdigest()[:16]
+        n = len(starts) - 1  # the first holds the variable-bitrate table
+        assert r.feature == f"frames={n};us={n * 1152 * 1_000_000 // 32000};bad=0;skipped=0;vbr=true;seek={seek}"
+
+
 def brute_segments(values):
     """Maximal scoring segments by the recursive definition."""
     if not any(v > 0 for v in values):
@@ -331,6 +356,66 @@ def test_entropy_windows(spark):
     assert [tuple(r) for r in clean] == [(1, "a [SECRET] b", "k"), (2, None, None)]
 
 
+def brute_entropy(text):
+    """Spans of windows above their class's threshold, from the definitions."""
+    base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_secrets(text).split(",") if x)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        c = m[0]
+        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", c) is not None
+        mixed = re.search("[a-z]", c) and re.search("[A-Z]", c)
+        if any(re.search(a, c) for a in secret_scan.ALLOW) or not re.search("[0-9]", c) or not (hexadecimal or mixed):
+            continue
+        limit = secret_scan.HEX_BITS if hexadecimal else secret_scan.BASE64_BITS
+        high = []
+        for i in range(len(c) - 19):
+            counts = Counter(c[i : i + 20])
+            if sum(-n / 20 * math.log2(n / 20) for n in counts.values()) >= limit:
+                high.append(i)
+        if high:
+            a, b = m.start() + high[0], m.start() + high[-1] + 20
+            if not any(x < b and a < y for x, y in base):
+                out.append((a, b))
+    return out
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    rng = random.Random(31)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "0123456789ABCDEF", "abAB01", "aB3", "0123456789", "é x"]
+    rows = []
+    for i in range(250):
+        parts = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([5, 19, 20, 23, 40, 90]))) for _ in range(rng.randint(0, 5))]
+        rows.append((i, rng.choice([" ", "é", "", " token=", "\n"]).join(parts)))
+    found = 0
+    for r in secret_scan.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("entropy")]
+        assert got == brute_entropy(rows[r.doc_id][1]), rows[r.doc_id]
+        found += len(got)
+    assert found > 100
+
+
+def test_mixing_solves_the_dual(spark):
+    """Rates against the entropy-balancing dual solved here document by document: min(cap, exp(lambda size / mean size)) with the
+    lambda at which they meet the target. Bins of a 64th of an octave stand for their documents' sizes."""
+    rng = random.Random(2)
+    rows = [(i, "w " * int(rng.lognormvariate(4, 1) + 1), rng.choice(["a", "b", "b", "c", "d", "d", "d", "d"])) for i in range(900)]
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    got = {r.row.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for source in "abcd":
+        ids = [i for i, _, s in rows if s == source]
+        mean, target = sum(sizes[i] for i in ids) / len(ids), got[ids[0]].target
+        rate = lambda i, lam: min(3.0, math.exp(min(50.0, lam * sizes[i] / mean)))  # noqa: E731, B023
+        lo, hi = -800.0, 800.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(rate(i, mid) * sizes[i] for i in ids) < target else (lo, mid)  # noqa: B023
+        if target < 3 * sum(sizes[i] for i in ids) - 1e-6:
+            assert abs(sum(got[i].rate * sizes[i] for i in ids) - target) < 1e-6 * target
+            assert all(abs(got[i].rate - rate(i, lo)) < 0.02 * rate(i, lo) + 1e-9 for i in ids)
+        else:
+            assert all(got[i].rate == 3 for i in ids)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -570,7 +655,7 @@ def test_license_runs_equal_brute_force():
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_decontamination_equals_brute_force(spark, odd, empty, most, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WORDS", most)
-    monkeypatch.setattr(decontamination, "BROADCAST_CANDIDATES", most)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
     rng = random.Random(4)
     words = ["the", "of", "Été", "X1"] + [f"q{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(words, k=rng.choice([0, 3, 9, 10, 14, 30])))) for i in range(25)] + [(77, None)]
