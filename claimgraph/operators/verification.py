@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimgraph.functions.ids import content_id, content_sha256
 
-#: Quotations up to which their anchors are broadcast.
-BROADCAST_QUOTATIONS = 50_000
+#: Bytes, roughly, of quotations up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def verify_quotations(artifacts: DataFrame, quotations: DataFrame) -> DataFrame:
@@ -21,15 +21,15 @@ def verify_quotations(artifacts: DataFrame, quotations: DataFrame) -> DataFrame:
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     anchored = quotes.withColumn("anchor", longest)
-    n = anchored.count()
+    small = (anchored.agg(F.sum(F.octet_length("quote") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     long_ones, short_ones = anchored.where("anchor <> ''"), anchored.where("anchor IS NULL OR anchor = ''")
     words = artifacts.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("anchor"))
-    side = F.broadcast(long_ones) if n <= BROADCAST_QUOTATIONS else long_ones
+    side = F.broadcast(long_ones) if small else long_ones
     pairs = words.join(side, "anchor").select("doc_id", "item_id", "quote")
     found = artifacts.join(pairs, "doc_id").where(F.contains("text", "quote"))
     columns = ["doc_id", "item_id", "text", "quote"]
     if short_ones.limit(1).count():
-        direct = artifacts.join(F.broadcast(short_ones) if n <= BROADCAST_QUOTATIONS else short_ones, F.contains("text", "quote"))
+        direct = artifacts.join(F.broadcast(short_ones) if small else short_ones, F.contains("text", "quote"))
         found = found.select(*columns).unionByName(direct.select(*columns))
     start = F.instr("text", F.col("quote")) - 1
     sha = content_sha256(F.col("text"))
