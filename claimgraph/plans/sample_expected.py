@@ -1,5 +1,6 @@
-"""What queries over the sample corpus must return. The rows were held against the sample's source by hand, one by one; tests and
-the driver compare every run with them. Columns are (name, type) in the order of the rows."""
+"""What queries over the sample corpus must return: recorded from a run after the rows had been looked through against the
+sample's source, so they guard against change, and are no second implementation. Tests hold those that `sample_queries` names an
+outcome for against that outcome. Columns are (name, type) in the order of the rows."""
 
 from __future__ import annotations
 

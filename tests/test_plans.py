@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from claimgraph.operators import ranking, verification
-from claimgraph.plans import registry
+from claimgraph.plans import registry, sample_expected, sample_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -75,3 +75,15 @@ def test_admission_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {(r.kind, r.id): r.status for r in registry.queries()["admission_status_all"](spark, str(tmp_path)).collect()}
     assert got == {("document", 1): "ADMITTED", ("document", 2): "ADMITTED", ("document", 3): "OVERSIZE", ("document", 4): "NOT_A_FILE", ("document", 5): "BINARY_AS_TEXT", ("page", 1): "HOSTILE_MARKUP", ("page", 2): "HOSTILE_MARKUP", ("page", 3): "ADMITTED"}
+
+
+def test_recorded_rows_have_the_outcomes_that_cases_name():
+    rows = {name: sorted(map(tuple, found), key=repr) for name, (_, found) in sample_expected.EXPECTED.items()}
+    same = lambda name, want: rows[name] == sorted(map(tuple, want), key=repr)
+    assert same("evidence_kinds", [(c[0], c[5], c[5] is not None) for c in sample_queries.EVIDENCE_CASES])
+    assert same("value_cases", [(i, c[2]) for i, c in enumerate(sample_queries.VALUE_CASES)])
+    assert same("decide_questions", [(q[0], q[2], q[3]) for q in sample_queries.QUESTIONS])
+    assert same("structural_verdicts", sample_queries.STRUCTURAL_CASES)
+    assert same("scope_resolution", sample_queries.SCOPES)
+    replies = sample_queries._replies({"shop.core.price": "", "shop.core.helper": "", "shop.core.Cart.TIMEOUT": ""})
+    assert [r[:2] for r in rows["answers_validated"]] == [(r[0], r[2]) for r in replies]
